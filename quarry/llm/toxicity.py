@@ -31,12 +31,12 @@ from quarry.llm.common import mix, text_bytes, folded_words, word_hashes
 #: Labelled rows of each class that a fit takes at most, by ascending hash of doc_id; and bytes of each text of the fit that are read at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 20_000
 TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 8 << 10, 32 << 10
-LEVEL = 3
-#: Both dictionaries end with this text, and each window begins and ends with it.
-CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08"
+LEVELS = (3, 12)
+#: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
+CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
 LONGEST = 64
-#: Bytes by which a window must compress better to count as strong.
-STRONG = 3
+#: Bytes by which a window must compress better to count as strong: the choices of the calibration.
+STRONG = range(2, 11)
 FEATURES = 4
 
 
@@ -48,25 +48,33 @@ class Model:
     ordinary: bytes = b""
     weights: list[float] = field(default_factory=list)
     constant: float = 0.0
+    strong_from: int = 3
 
 
 class Gains:
-    """Bytes that the toxic dictionary saves over the ordinary one, per word."""
+    """Bytes that the toxic dictionary saves over the ordinary one, per word, beyond what it saves on a window without a word."""
 
     def __init__(self, model: Model):
-        def packer(content: bytes):
+        def packer(content: bytes, level: int):
             data = zstandard.ZstdCompressionDict(content + CARRIER + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+            data.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self.toxic, self.ordinary = packer(model.toxic), packer(model.ordinary)
+        self.pairs = [(packer(model.toxic, level), packer(model.ordinary, level)) for level in LEVELS]
+        self.least = [0] * len(LEVELS)
+        self.least = self._of(b"")
 
-    def of(self, word: bytes) -> int:
+    def _of(self, word: bytes) -> list[int]:
         window = b"%b %b %b" % (CARRIER, word, CARRIER)
-        return len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+        return [len(ordinary(window)) - len(toxic(window)) - least for (toxic, ordinary), least in zip(self.pairs, self.least, strict=True)]
+
+    def of(self, word: bytes) -> int:
+        """The least of the levels' gains: where one level's parse misses a match in one dictionary, the other's seldom does."""
+        return min(self._of(word))
 
 
-def features(gains: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per row: the largest gain, the second largest, the number of windows with a gain of STRONG bytes or more, and their share, the last two in logarithm."""
+def features(gains: np.ndarray, offsets: np.ndarray, strong_from: int) -> np.ndarray:
+    """Per row: the largest gain, the second largest, the number of windows with a gain of strong_from bytes or more, and their share, the last two in logarithm."""
     n = len(offsets) - 1
     out = np.zeros((n, FEATURES))
     sizes = np.diff(offsets)
@@ -78,7 +86,7 @@ def features(gains: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for k in range(2):
         at = order[rank == k]
         out[row[at], k] = gains[at]
-    strong = np.bincount(row[gains >= STRONG], minlength=n)
+    strong = np.bincount(row[gains >= strong_from], minlength=n)
     out[:, 2] = np.log1p(strong)
     out[:, 3] = np.log1p(100 * strong / np.maximum(sizes, 10))
     return out
@@ -138,30 +146,41 @@ def fit_rows(rows: list[tuple[str, int]]) -> Model:
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model(constant=1.0 if share == 1 else 0.0)
     learn_t, learn_o = (x[: len(x) * 2 // 3] for x in (toxic, ordinary))
-    in_toxic, in_ordinary = (Counter(g for words in part for g in _candidates(words)) for part in (learn_t, learn_o))
-    marks = _marks(in_toxic, in_ordinary, len(learn_t) / (len(learn_t) + len(learn_o)))
-    if not marks:
+    model = _dictionaries(learn_t, learn_o)
+    if model is None:
         return Model(constant=share)
+    held = [(w, 1) for w in toxic[len(learn_t) :]] + [(w, 0) for w in ordinary[len(learn_o) :]]
+    gains, y = Gains(model), np.array([k for _, k in held], float)
+    known = {w: gains.of(w) for w in set().union(*(words for words, _ in held))}
+    flat = np.array([known[w] for words, _ in held for w in words], np.int64)
+    offsets = np.cumsum([0, *(len(words) for words, _ in held)])
+    curves = [(_logistic(features(flat, offsets, k), y), k) for k in STRONG]
+
+    def loss(curve) -> float:
+        p = np.clip(probability(features(flat, offsets, curve[1]), curve[0]), 1e-6, 1 - 1e-6)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    weights, strong_from = min(curves, key=loss)
+    model.weights, model.strong_from = weights, strong_from
+    return model
+
+
+def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model | None:
+    """The dictionaries of the words of toxic and of ordinary rows; None if nothing marks the toxic ones."""
+    in_toxic, in_ordinary = (Counter(g for words in part for g in _candidates(words)) for part in (toxic, ordinary))
+    marks = _marks(in_toxic, in_ordinary, len(toxic) / (len(toxic) + len(ordinary)))
+    if not marks:
+        return None
     rng = random.Random(7)
     picked = [b" " + m for m in sorted(marks) for _ in range(min(40, in_toxic[m]))]
     rng.shuffle(picked)
-    plain = [b" " + b" ".join(words[i : i + 8]) + b" " for words in learn_o for i in range(0, len(words), 40)]
+    plain = [b" " + b" ".join(words[i : i + 8]) + b" " for words in ordinary for i in range(0, len(words), 40)]
     rng.shuffle(plain)
     common = _content(plain[:40_000], ORDINARY_DICTIONARY)
     trained = _content(picked, TOXIC_DICTIONARY)
-    left_out = b"".join(b" " + m for m in sorted(marks) if m not in trained)[: 2 * TOXIC_DICTIONARY]
-    model = Model(common + left_out + trained, common)
-    held = [(w, 1) for w in toxic[len(learn_t) :]] + [(w, 0) for w in ordinary[len(learn_o) :]]
-    gains = Gains(model)
-    table: dict[bytes, int] = {}
-    x = []
-    for words, _ in held:
-        for w in words:
-            if w not in table:
-                table[w] = gains.of(w)
-        x.append(features(np.array([table[w] for w in words]), np.array([0, len(words)]))[0])
-    model.weights = _logistic(np.array(x), np.array([y for _, y in held], float))
-    return model
+    whole = b"".join(b" %b " % m for m in sorted(marks))[: 2 * TOXIC_DICTIONARY]
+    # bytes that no UTF-8 text holds keep the ordinary dictionary as long, so that both index the common content alike
+    return Model(common + trained + whole, common + bytes(rng.choice(b"\xf8\xf9\xfa\xfb\xfc\xfd\xfe\xff") for _ in trained + whole))
 
 
 def _candidates(words: list[bytes]) -> set[bytes]:
@@ -179,7 +198,11 @@ def _marks(in_toxic: Counter, in_ordinary: Counter, share: float) -> set[bytes]:
         q = min(n / m, 1 - 1e-9)
         if q > share and n * np.log(q / share) + (m - n) * np.log((1 - q) / (1 - share)) > least and n * (1 - share) > 10 * in_ordinary[w] * share:
             out.add(w)
-    return {w for w in out if not any(w[:k] in out for k in range(4, len(w)))}
+    longer: dict[bytes, int] = {}
+    for w in out:
+        for k in range(4, len(w)):
+            longer[w[:k]] = max(longer.get(w[:k], 0), in_toxic[w])
+    return {w for w in out if longer.get(w, 0) < 0.8 * in_toxic[w]}  # a beginning gives way to a longer mark that is nearly as frequent
 
 
 def _content(samples: list[bytes], size: int) -> bytes:
@@ -233,7 +256,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                             else:
                                 known[word] = gain
                         found[k] = gain
-                    scores = probability(features(found[back] if len(first) else np.zeros(0, np.int64), rows), model.weights)
+                    scores = probability(features(found[back] if len(first) else np.zeros(0, np.int64), rows, model.strong_from), model.weights)
                 yield pa.record_batch([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
