@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import secret_scan, sentence_pieces, token_counts, token_files, toxicity
+from quarry.llm import secret_scan, sentence_pieces, token_counts, token_files, toxicity, warc_archives
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,14 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"]).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
 
 
+@query
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archives.read_archives(warc_archives.write_archives(table(spark, sf_dir, "pages")))
+
+
+ORACLES["op7_warc_archives"] = warc_archives.ORACLE
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ["doc_id"], text="text", rule="majority")
