@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import near_duplicates, secret_scan, sentence_pieces, token_counts, token_files, toxicity, warc_archives
+from quarry.llm import decontamination, near_duplicates, secret_scan, sentence_pieces, token_counts, token_files, toxicity, warc_archives
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,14 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"]).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_decontamination"] = decontamination.ORACLE
+
+
 @query
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archives.read_archives(warc_archives.write_archives(table(spark, sf_dir, "pages")))
