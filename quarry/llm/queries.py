@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, near_duplicates, secret_scan, sentence_pieces, token_counts, token_files, toxicity, warc_archives
+from quarry.llm import decontamination, near_duplicates, secret_scan, sentence_pieces, token_counts, token_files, toxicity, tree_weighting, warc_archives
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_secret_scan"] = secret_scan.ORACLE
 
 
+@query
+def op3_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_weighting.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.link(table(spark, sf_dir, "documents"))
