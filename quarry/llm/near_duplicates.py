@@ -183,3 +183,9 @@ def link(docs: DataFrame) -> DataFrame:
     out = sketched.select("doc_id", "n_shingles").join(least, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose document is the one kept of its component; rows without a doc_id stay."""
+    gone = link(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

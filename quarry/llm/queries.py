@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, near_duplicates, secret_scan, sentence_pieces, token_counts, token_files, toxicity, tree_weighting, warc_archives
+from quarry.llm import decontamination, near_duplicates, secret_scan, sentence_pieces, token_counts, token_files, toxicity, tree_weighting, vector_index, warc_archives
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))

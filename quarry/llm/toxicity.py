@@ -34,7 +34,8 @@ TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 8 << 10, 32 << 10
 LEVELS = (3, 12)
 #: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
 CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
-LONGEST = 64
+#: Bytes of the longest window, and words that a Python worker remembers.
+LONGEST, WORDS_KNOWN = 64, 500_000
 #: Bytes by which a window must compress better to count as strong: the choices of the calibration.
 STRONG = range(2, 11)
 FEATURES = 4
@@ -227,39 +228,60 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return fit_rows([(t, y) for _, t, y in rows])
 
 
+class _Scorer:
+    """Scores texts with a model; a word's gain is found once and remembered, up to a bounded number of words."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+        self.gains = Gains(model) if model.weights else None
+
+    def _gain(self, word: bytes) -> int:
+        gain = self.known.get(word)
+        if gain is None:
+            # every part of a long word is a window of its own
+            gain = self.gains.of(word) if len(word) <= LONGEST else max(self.gains.of(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
+            if len(word) <= LONGEST:
+                self.known[word] = gain
+        return gain
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        if self.gains is None:
+            return np.full(len(column), self.model.constant)
+        raw, offsets = text_bytes(column)
+        low, starts, ends, rows = folded_words(raw, offsets)
+        _, first, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        text = low.tobytes()
+        if len(self.known) > WORDS_KNOWN:
+            self.known.clear()
+        found = np.array([self._gain(text[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)
+        return probability(features(found[back], rows, self.model.strong_from), self.model.weights)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with held_out, score and predicted, one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = Gains(model) if model.weights else None
-        known: dict[bytes, int] = {}
+        scorer = _Scorer(model)
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 b = whole.slice(i, 1000)
-                if gains is None:
-                    scores = np.full(b.num_rows, model.constant)
-                else:
-                    raw, offsets = text_bytes(b.column(1))
-                    low, starts, ends, rows = folded_words(raw, offsets)
-                    _, first, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
-                    text = low.tobytes()
-                    found = np.empty(len(first), np.int64)
-                    if len(known) > 500_000:
-                        known.clear()
-                    for k, (s, e) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
-                        word = text[s : min(e, s + LONGEST)]
-                        gain = known.get(word)
-                        if gain is None:
-                            gain = gains.of(word)
-                            if e - s > LONGEST:  # every part of a long word is a window of its own
-                                gain = max([gain, *(gains.of(text[j : min(e, j + LONGEST)]) for j in range(s + LONGEST, e, LONGEST))])
-                            else:
-                                known[word] = gain
-                        found[k] = gain
-                    scores = probability(features(found[back] if len(first) else np.zeros(0, np.int64), rows, model.strong_from), model.weights)
-                yield pa.record_batch([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+                yield pa.record_batch([b.column(0), pa.array(scorer.scores(b.column(1)), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = rows.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that score below 0.5."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                yield b.filter(pa.array(scorer.scores(b.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ Plan: rows are dealt to blocks of about BLOCK_BYTES. Each block lists its distin
 counts, dealt to buckets: grams by the two bytes before the last, so that a bucket holds whole subtrees below depth 2. A bucket sums the counts of all
 blocks and answers each block in the order of its list: tokens with counts, grams with log-probabilities. Between lies a pass that weighs the
 subtrees up to depth 2 and sums them to at most 256 * 255 nodes of depth 1, which go through the driver to all buckets. Blocks then add up their rows.
+Log-probabilities travel as 32-bit floats, and are added up in double precision.
 What is gathered grows with the distinct grams and tokens; no task holds more than a block, or a bucket's share of all blocks.
 
 Defined cases: null text is empty: one token, the end; null doc_id trains and is not held out; repeated rows train as often as they occur and each
@@ -20,12 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, folded_words, mix, text_bytes, word_hashes
 
-DEPTH, BLOCK_BYTES, CHUNK_BYTES = 4, 12 << 20, 2 << 20
+#: Buckets per block keep a bucket's trees small beside a block.
+DEPTH, BLOCK_BYTES, CHUNK_BYTES, SPREAD = 5, 24 << 20, 2 << 20, 4
 TOKENS, GRAMS = 0, 1
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 _LISTS = "kind int, bucket int, block int, keys binary, counts binary"
@@ -164,6 +167,17 @@ class _Chunks:
             yield start, n, grams[valid], np.concatenate([[0], np.cumsum(size + 1)]), word_hashes(low, starts, ends), words
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array's bytes by place, all first bytes before all second ones, compressed: sorted grams have few distinct leading bytes."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 3)
+
+
+def unpacked(data: bytes, dtype: str) -> np.ndarray:
+    kind = np.dtype(dtype)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
 def _lists(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     bucket = bucket_of(kind, keys, buckets)
     order = np.lexsort((keys, bucket))
@@ -175,8 +189,8 @@ def _lists(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets:
             "kind": pa.array([kind] * len(present), pa.int32()),
             "bucket": pa.array(present, pa.int32()),
             "block": pa.array([block] * len(present), pa.int32()),
-            "keys": pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in present], pa.binary()),
-            "counts": pa.array([counts[cuts[k] : cuts[k + 1]].astype("<u4").tobytes() for k in present], pa.binary()),
+            "keys": pa.array([packed(keys[cuts[k] : cuts[k + 1]]) for k in present], pa.binary()),
+            "counts": pa.array([packed(counts[cuts[k] : cuts[k + 1]].astype("<u4")) for k in present], pa.binary()),
         }
     )
 
@@ -203,8 +217,8 @@ def _count(table: pa.Table, buckets: int) -> pa.Table:
 def _gathered(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
     """Of a bucket's lists: blocks, their keys, and the distinct keys with their sums."""
     blocks = table.column("block").to_pylist()
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-    counts = [np.frombuffer(x.as_buffer(), "<u4").astype(np.float64) for x in table.column("counts")]
+    keys = [unpacked(x.as_py(), "<u8") for x in table.column("keys")]
+    counts = [unpacked(x.as_py(), "<u4").astype(np.float64) for x in table.column("counts")]
     return blocks, keys, *summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -216,7 +230,7 @@ def _answers(kind: int, bucket: int, blocks: list[int], answers: list[bytes], to
 
 def _answer_tokens(table: pa.Table) -> pa.Table:
     blocks, lists, keys, counts = _gathered(table)
-    answers = [counts[np.searchsorted(keys, x)].astype("<i8").tobytes() for x in lists]
+    answers = [packed(counts[np.searchsorted(keys, x)].astype("<i8")) for x in lists]
     return _answers(TOKENS, table.column("bucket")[0].as_py(), blocks, answers, int(counts.sum()), int((counts > 0).sum()))
 
 
@@ -233,8 +247,9 @@ def score(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (~held).alias("train"))
     size, rows_trained = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count_if("train")).first()
-    buckets = max(1, -(-(size or 0) // BLOCK_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
+    buckets = blocks * SPREAD
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     lists = cut(rows.groupBy("block").applyInArrow(lambda t: _count(t, buckets), _LISTS), "lists")
     token_answers = cut(lists.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_answer_tokens, _ANSWERS), "token-answers")
@@ -250,16 +265,25 @@ def score(docs: DataFrame) -> DataFrame:
         blocks, lists, keys, counts = _gathered(table)
         tree = weigh(keys[counts > 0], counts[counts > 0], 2)
         logs = np.concatenate([log_probabilities(keys[i : i + 50_000], tree, gathered, left) for i in range(0, len(keys), 50_000)])
-        answers = [logs[np.searchsorted(keys, x)].tobytes() for x in lists]
+        answers = [packed(logs[np.searchsorted(keys, x)].astype("<f4")) for x in lists]
         return _answers(GRAMS, table.column("bucket")[0].as_py(), blocks, answers, 0, 0)
 
     answers = token_answers.union(grams.groupBy("bucket").applyInArrow(answer_grams, _ANSWERS)).select("block", "kind", "bucket", "answer")
 
     def add_up(table: pa.Table, given: pa.Table) -> pa.Table:
         kinds, at = given.column("kind").to_pylist(), given.column("bucket").to_pylist()
-        parts = {k: b"".join(given.column("answer")[i].as_py() for i in sorted((i for i, x in enumerate(kinds) if x == k), key=at.__getitem__)) for k in (TOKENS, GRAMS)}
-        counts, logs = np.frombuffer(parts[TOKENS], "<i8"), np.frombuffer(parts[GRAMS], np.float64)
-        chunks = [(s, k, *np.unique(g, return_inverse=True), gr, *np.unique(t, return_inverse=True), w) for s, k, g, gr, t, w in _Chunks(table)]
+
+        def joined(kind: int, dtype: str) -> np.ndarray:
+            mine = sorted((i for i, x in enumerate(kinds) if x == kind), key=at.__getitem__)
+            return np.concatenate([np.zeros(0, dtype), *(unpacked(given.column("answer")[i].as_py(), dtype) for i in mine)])
+
+        counts, logs = joined(TOKENS, "<i8"), joined(GRAMS, "<f4").astype(np.float64)
+
+        def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, back = np.unique(keys, return_inverse=True)
+            return found, back.astype(np.int32)
+
+        chunks = [(s, k, *distinct_of(g), gr, *distinct_of(t), w) for s, k, g, gr, t, w in _Chunks(table)]
         ordered = {}
         for kind, col in ((GRAMS, 2), (TOKENS, 5)):
             keys = np.unique(np.concatenate([c[col] for c in chunks]))
