@@ -1,16 +1,56 @@
-"""The corpus pipeline: STAGES in order, each reading the documents that the one before it kept."""
+"""The corpus pipeline: STAGES in order, each reading the documents that the one before it kept.
+
+Every stage but the last returns the columns of documents; the last returns each kept document's pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quarry.llm import decontamination, near_duplicates, secret_scan, sentence_pieces, toxicity
+from quarry.llm.common import cut
+from quarry.llm.queries import table, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression-distance classifier rejects go."""
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest doc_id stays."""
+    return near_duplicates.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; in their texts, secrets give way to their kinds in brackets."""
+    return secret_scan.redact(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang and source with the text's piece ids, their number and checksum, and whether they decode to the text."""
+    return sentence_pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("pieces", encode_pieces),
+]
+#: SQL can express neither the classifier nor the pieces; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply STAGES to the documents of sf_dir, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
