@@ -5,11 +5,13 @@
 2. Each representative is posted under its coordinate-value pairs; pairs that one representative alone has are dropped. Two sets that should link
    agree in MATCHES coordinates or more (at a similarity of 0.75 all but a few in a million do; at higher ones fewer still miss), so a representative
    with fewer postings left has no partner.
-3. Large lists are contracted: in two rounds, each representative meets the first member of its lists, and links confirmed on full sets join
-   components. Lists of near copies end as one component, whatever their length, by pairs in proportion to it.
+3. Large lists are contracted: in ROUNDS rounds, each representative meets one member of another component from each of its lists, the one with most
+   collisions is tried on full sets, and links join components. Lists of near copies end as one component, whatever their length, by pairs in
+   proportion to it.
 4. What is left is enumerated: with postings ordered by rarity, two representatives with MATCHES collisions share one in their prefixes, all but the
-   last MATCHES - 1. Prefix postings meet across components only, beside the list's largest component, and within a factor of 4/3 in size; collisions
-   of the full signatures are counted, and pairs with MATCHES or more are confirmed on full sets.
+   last MATCHES - 1. Prefix lists that lie in one component are done; those that others connect are a family, dealt by size (within a factor
+   of 4/3) to blocks of BLOCK. Block against block, collisions are counted across components, and pairs with MATCHES or more are confirmed on full sets;
+   only links leave a block. This work grows with the square of a family of documents that are nearly, but not quite, near copies of each other.
 
 Links that both their ends' component already implies are not sought: the components are what all links give.
 
@@ -31,11 +33,15 @@ from pyspark.sql.window import Window
 from quarry.llm.common import cut, fits, folded_words, mix, text_bytes, word_hashes
 from quarry.llm.components import components
 
-WORDS, COORDINATES, MATCHES = 5, 64, 30
+WORDS, COORDINATES, MATCHES = 5, 96, 54
+#: Contractions before what is left is enumerated.
+ROUNDS = 3
 #: A pair links if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Ids of documents whose sets are needed are broadcast up to so many (8 bytes each); beyond, they are joined by shuffling.
 BROADCAST_IDS = 400_000
+#: Representatives of a block.
+BLOCK = 256
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -130,11 +136,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(c, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long").distinct()
 
 
+def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose signatures collide MATCHES times or more, with the number n."""
+    both = pairs.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v")
+    n = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda t: t))
+    return both.select("u", "v", n.alias("n")).where(F.col("n") >= MATCHES)
+
+
 def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """rows (rep, ...) with comp: the component of rep."""
     return rows.join(joined.select(F.col("u").alias("rep"), F.col("v").alias("_c")), "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
 
 
+def _pack(table: pa.Table) -> pa.Table:
+    """One row for a block: its key, its least and largest component, and its members' ids, components, sizes, signatures and sets."""
+    family, band, block = (table.column(c)[0].as_py() for c in ("family", "band", "block"))
+    comp = table.column("comp").to_numpy()
+    sigs = table.column("signature").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    sets = [x.as_py() for x in table.column("set")]
+    blobs = [table.column("rep").to_numpy().tobytes(), comp.tobytes(), np.array([len(x) // 8 for x in sets], np.int64).tobytes(), sigs.tobytes(), b"".join(sets)]
+    head = [pa.array([x], pa.int64()) for x in (family, band, block, comp.min(), comp.max())]
+    return pa.table([*head, *(pa.array([x], pa.binary()) for x in blobs)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+
+_PACKED = "family long, band long, block long, lo long, hi long, reps binary, comps binary, sizes binary, sigs binary, sets binary"
+
+
+def _block_links(x: list[bytes], y: list[bytes], same: bool) -> list[tuple[int, int]]:
+    """The links between members of two packed blocks that lie in different components."""
+    (rx, cx, nx, sx, tx), (ry, cy, ny, sy, ty) = ([*(np.frombuffer(v, np.int64) for v in z[:3]), np.frombuffer(z[3], np.int32).reshape(-1, COORDINATES), np.frombuffer(z[4], np.uint64)] for z in (x, y))
+    open_ = (cx[:, None] != cy[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :]))
+    if same:
+        open_ &= rx[:, None] < ry[None, :]
+    if not open_.any():
+        return []
+    n = np.zeros(open_.shape, np.uint16)
+    for k in range(COORDINATES):
+        n += sx[:, k][:, None] == sy[:, k][None, :]
+    pairs = np.argwhere(open_ & (n >= MATCHES))
+    ox, oy = np.concatenate([[0], np.cumsum(nx)]), np.concatenate([[0], np.cumsum(ny)])
+    out = []
+    for i in np.unique(pairs[:, 0]):
+        mine = tx[ox[i] : ox[i + 1]]
+        at = np.minimum(np.searchsorted(mine, ty), len(mine) - 1)
+        shared = np.add.reduceat(mine[at] == ty, oy[:-1], dtype=np.int64)
+        for j in pairs[pairs[:, 0] == i, 1]:
+            if 100 * shared[j] >= PERCENT * (nx[i] + ny[j] - shared[j]):
+                out.append((int(rx[i]), int(ry[j])))
+    return out
+
+
+def _blocked_links(open_lists: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components among representatives that open lists (key, rep, comp, n_shingles, band) connect, block against block; pairs never become rows."""
+    members = open_lists.select("rep", "comp", "n_shingles", "band").distinct()
+    least = open_lists.groupBy("key").agg(F.min("rep").alias("v"))
+    families = components(open_lists.join(least, "key").select(F.col("rep").alias("u"), "v"))
+    placed = members.join(families.select(F.col("u").alias("rep"), F.col("v").alias("_f")), "rep", "left").withColumn("family", F.coalesce("_f", "rep")).drop("_f")
+    sizes = placed.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = placed.join(sizes, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    packed = cut(dealt.join(sigs, "rep").join(sets.withColumnRenamed("id", "rep"), "rep").select("family", "band", "block", "rep", "comp", "signature", "set").groupBy("family", "band", "block").applyInArrow(_pack, _PACKED), "blocks")
+    keys = packed.select("family", "band", "block", "lo", "hi")
+    there = keys.toDF("family", "band_", "block_", "lo_", "hi_")
+    near = keys.join(there, "family").where("(band = band_ and block <= block_) or band_ = band + 1").where("not (lo = hi and lo_ = hi_ and lo = lo_)").select("family", "band", "block", "band_", "block_")
+    data = ["reps", "comps", "sizes", "sigs", "sets"]
+    left = packed.select("family", "band", "block", *data)
+    right = packed.select(F.col("family"), F.col("band").alias("band_"), F.col("block").alias("block_"), *[F.col(c).alias(f"{c}_") for c in data])
+    met = near.join(left, ["family", "band", "block"]).join(right, ["family", "band_", "block_"])
+    met = met.select(((F.col("band") == F.col("band_")) & (F.col("block") == F.col("block_"))).alias("same"), *data, *[f"{c}_" for c in data])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = [b.column(k)[i].as_py() for k in range(b.num_columns)]
+                found = _block_links(row[1:6], row[6:], row[0])
+                yield pa.record_batch([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], names=["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long").distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     spark = docs.sparkSession
@@ -154,27 +233,25 @@ def link(docs: DataFrame) -> DataFrame:
 
     edges = spark.createDataFrame([], "u long, v long")
     joined = edges
-    for _ in range(2):
-        labelled = _labelled(postings, joined)
-        ends = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("rep", F.struct("comp", "rep")).alias("a"), F.max_by("rep", F.struct("comp", "rep")).alias("z")).where("lo < hi")
-        met = labelled.join(ends, "key").select("rep", F.when(F.col("comp") == F.col("lo"), F.col("z")).otherwise(F.col("a")).alias("hub")).groupBy("rep", "hub").count()
-        best = Window.partitionBy("rep").orderBy(F.desc("count"), "hub")
-        pairs = met.withColumn("n", F.row_number().over(best)).where("n <= 2").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
-        edges = cut(edges.union(_confirmed(pairs, sets)), "links")
+    sigs = cut(reps.join(active.select("rep"), "rep", "left_semi").select("rep", "signature"), "signatures")
+    for turn in range(ROUNDS):
+        # another order of components and members each time, so that who meets is new
+        labelled = _labelled(postings, joined).withColumn("by", F.struct(F.xxhash64("comp", F.lit(turn)), F.xxhash64("rep", F.lit(turn)), "rep"))
+        ends = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by("comp", "by").alias("lo"), F.min_by("rep", "by").alias("a"), F.max_by("rep", "by").alias("z")).where("least < most")
+        met = labelled.join(ends.select("key", "lo", "a", "z"), "key").select(F.col("rep").alias("u"), F.when(F.col("comp") == F.col("lo"), F.col("z")).otherwise(F.col("a")).alias("v")).where("u <> v").distinct()
+        closest = Window.partitionBy("u").orderBy(F.desc("n"), "v")
+        tried = _agreeing(met, sigs).withColumn("place", F.row_number().over(closest)).where("place = 1").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = cut(_confirmed(tried, sets), "links")
+        if not found.limit(1).count():
+            break
+        edges = edges.union(found)
         joined = components(edges)
 
     prefixes = postings.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("c", "key"))).where(F.col("place") <= F.col("m") - MATCHES + 1)
     labelled = cut(_labelled(prefixes, joined).select("key", "rep", "comp", "n_shingles", F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).alias("band")), "prefixes")
-    per_part = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    most = per_part.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "most")
-    open_lists = cut(labelled.join(most, "key"), "open-lists")
-    few = open_lists.where("comp <> most").select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("n_shingles").alias("nv"))
-    meet = open_lists.join(few, ["key", "band"]).where("comp <> cv and (comp = most or rep < v)").where((F.least("n_shingles", "nv") * 100 >= F.greatest("n_shingles", "nv") * PERCENT))
-    pairs = meet.select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")).distinct()
-    sigs = reps.select("rep", "signature")
-    both = pairs.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v")
-    agree = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda t: t))
-    edges = cut(edges.union(_confirmed(both.where(agree >= MATCHES).select("u", "v"), sets)), "links")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_lists = cut(labelled.join(mixed, "key"), "open-lists")
+    edges = cut(edges.union(_blocked_links(open_lists, sigs, sets)), "links")
     # rows of one doc_id with different texts are one document
     own = classes.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     doubled = classes.join(own.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
