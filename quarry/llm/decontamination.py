@@ -83,7 +83,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item of the benchmark."""
     hit = matches(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
 
 
 def _oracle() -> str:

@@ -265,4 +265,4 @@ def link(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document is the one kept of its component; rows without a doc_id stay."""
     gone = link(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")

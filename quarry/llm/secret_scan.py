@@ -140,13 +140,13 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with its columns and order of columns; in text, every span found is replaced by [KIND]; matches that are too short stay."""
-    secret = F.col("text")
+    secret = docs["text"]
     flagged = scan(docs, ledger, rules).where(F.col("spans").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    joined = docs.join(flagged, docs.doc_id.eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["_id"]), "left")
     # spans that overlap count as one, named after the first; the text is put together from the ends of one to the starts of the next
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     folded = F.aggregate(
-        "_spans",
+        flagged["_spans"],
         start,
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
             F.struct(
@@ -156,7 +156,7 @@ def redact(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule,
         ),
         lambda acc: F.concat(acc["out"], F.substr(secret, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    return joined.select(*[F.when(F.col("_spans").isNull(), F.col("text")).otherwise(folded).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(flagged["_spans"].isNull(), secret).otherwise(folded).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def _oracle(rules: tuple[Rule, ...] = RULES) -> str:
