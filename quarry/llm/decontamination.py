@@ -14,6 +14,8 @@ repeated rows of documents yield one result, equal items each; an empty table on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,17 @@ def tokens(text: str) -> str:
 def typed(words: str) -> str:
     """SQL: the tokens with placeholders in place of numbers, names and units."""
     units = ", ".join(f"'{u}'" for u in UNITS)
-    return f"""transform({words}, (x, i) -> case when x rlike '^\\\\p{{N}}' then '<number>'
-        when i > 0 and lower(x) in ({units}) and {words}[i - 1] rlike '^\\\\p{{N}}' then '<unit>'
-        when x rlike '^\\\\p{{Lu}}\\\\p{{Ll}}' then '<name>' else lower(replace(x, '\x01', '')) end)"""
+    is_unit = f"i > 0 and lower(x) in ({units}) and {words}[i - 1] rlike '^\\\\p{{N}}'"
+    # words that begin with a small ASCII letter, most of all, need no pattern
+    return f"""transform({words}, (x, i) -> case when ascii(x) between 97 and 122 then case when {is_unit} then '<unit>' else lower(x) end
+        when ascii(x) = 1 then lower(substr(x, 2)) when x rlike '^\\\\p{{N}}' then '<number>' when {is_unit} then '<unit>'
+        when x rlike '^\\\\p{{Lu}}\\\\p{{Ll}}' then '<name>' else lower(x) end)"""
 
 
-def _windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """Of rows (key, words, kinds) a row per template window: key, words, kinds, size, place, hash."""
-    made = ", ".join(f"transform(filter(sequence(0, greatest(size(kinds) - {n}, 0)), i -> i + {n} <= size(kinds)), i -> struct({n} as size, i as place, xxhash64(slice(kinds, i + 1, {n})) as hash))" for n in lengths)
-    return rows.select(key, "words", "kinds", F.expr(f"explode(concat({made}))").alias("w")).select(key, "words", "kinds", "w.size", "w.place", "w.hash")
+def _windows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Of rows (key, words, kinds) a row per run of n kinds: key, words, kinds, place, hash."""
+    hashes = f"case when size(kinds) >= {n} then transform(sequence(0, size(kinds) - {n}), i -> xxhash64(slice(kinds, i + 1, {n}))) end"
+    return rows.select(key, "words", "kinds", F.posexplode(F.expr(hashes)).alias("place", "hash"))
 
 
 def _literal(column: str) -> str:
@@ -62,13 +66,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     once = items.groupBy("text_key").agg(F.min_by("words", F.coalesce("item_id", F.lit(0))).alias("words"), F.min_by("kinds", F.coalesce("item_id", F.lit(0))).alias("kinds"))
     lengths = sorted(r[0] for r in items.where(F.size("kinds") < WINDOW).select(F.size("kinds")).distinct().collect())  # LITERALS to WINDOW - 1
     lengths.append(WINDOW)
-    frames = _windows(once, "text_key", lengths).where(f"size = least(size(kinds), {WINDOW})").withColumn("part", F.expr("slice(kinds, place + 1, size)")).where(_literal("part"))
+    frames = reduce(DataFrame.unionByName, [_windows(once.where(f"least(size(kinds), {WINDOW}) = {n}"), "text_key", n).withColumn("size", F.lit(n)) for n in lengths])
+    frames = frames.withColumn("part", F.expr("slice(kinds, place + 1, size)")).where(_literal("part"))
     per_item = frames.groupBy("text_key").agg(F.count(F.lit(1)).alias("n_item"))
     frames = cut(frames.select("text_key", F.col("size").alias("_size"), F.col("place").alias("item_place"), F.col("hash").alias("_hash"), F.expr("slice(words, place + 1, size)").alias("item_words"), "part"), "frames")
-    wanted = F.broadcast(frames) if fits(frames, BROADCAST_WINDOWS) else frames
+    small = fits(frames, BROADCAST_WINDOWS)
 
     texts = docs.select("doc_id", F.expr(tokens("text")).alias("words")).withColumn("kinds", F.expr(typed("words")))
-    met = _windows(texts, "doc_id", lengths).join(wanted, (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("_size")))
+    wanted = {n: frames.where(F.col("_size") == n) for n in lengths}
+    met = reduce(DataFrame.unionByName, [_windows(texts, "doc_id", n).join(F.broadcast(f) if small else f, F.col("hash") == F.col("_hash")).withColumn("size", F.lit(n)) for n, f in wanted.items()])
     met = met.where(F.expr("slice(kinds, place + 1, size) = part"))
     slots = F.expr("filter(transform(part, (k, i) -> named_struct('kind', k, 'old', item_words[i], 'new', words[place + i])), x -> x.kind in ('<number>', '<name>', '<unit>'))")
     found = met.select("doc_id", "text_key", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", slots.alias("slots")).dropDuplicates(["doc_id", "text_key", "shift", "item_place"])
