@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import mix, text_bytes, folded_words, word_hashes
 
-#: Labelled rows of each class that a fit takes at most, by ascending hash of doc_id; and bytes of each text of the fit that are read at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 20_000
+#: Labelled rows of each class that a fit takes at most, by ascending hash of doc_id; their texts are read whole.
+SAMPLE_ROWS = 4000
 TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 8 << 10, 32 << 10
 LEVELS = (3, 12)
 #: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
@@ -70,8 +70,8 @@ class Gains:
         return [len(ordinary(window)) - len(toxic(window)) - least for (toxic, ordinary), least in zip(self.pairs, self.least, strict=True)]
 
     def of(self, word: bytes) -> int:
-        """The least of the levels' gains: where one level's parse misses a match in one dictionary, the other's seldom does."""
-        return min(self._of(word))
+        """The least of the levels' gains: where one level's parse misses a match in one dictionary, the other's seldom does. Every part of a long word is a window of its own."""
+        return min(self._of(word)) if len(word) <= LONGEST else max(min(self._of(word[i : i + LONGEST])) for i in range(0, len(word), LONGEST))
 
 
 def features(gains: np.ndarray, offsets: np.ndarray, strong_from: int) -> np.ndarray:
@@ -112,20 +112,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return w.tolist()
 
 
-def _words(text: str) -> list[bytes]:
-    raw, offsets = text_bytes(pa.array([text], pa.string()))
-    low, starts, ends, _ = folded_words(raw, offsets)
-    return [low[a:b].tobytes() for a, b in zip(starts.tolist(), np.minimum(ends, starts + LONGEST).tolist(), strict=True)]
-
-
 def _copies_once(rows: list[tuple[str, int]]) -> list[tuple[list[bytes], int]]:
     """One of the rows that share one of two minima over hashes of four-word runs: copies would pass off their own words as marks of a class."""
     seen: set[tuple[int, int]] = set()
+    once: dict[bytes, bytes] = {}  # equal words of all rows are one object
     out = []
     for text, label in rows:
-        words = _words(text)
         raw, offsets = text_bytes(pa.array([text], pa.string()))
         low, starts, ends, _ = folded_words(raw, offsets)
+        text_low = low.tobytes()
+        words = [once.setdefault(w, w) for w in (text_low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))]
         h = word_hashes(low, starts, ends)
         for k in range(1, min(4, len(h))):
             h = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h
@@ -175,9 +171,9 @@ def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Mode
     rng = random.Random(7)
     picked = [b" " + m for m in sorted(marks) for _ in range(min(40, in_toxic[m]))]
     rng.shuffle(picked)
-    plain = [b" " + b" ".join(words[i : i + 8]) + b" " for words in ordinary for i in range(0, len(words), 40)]
+    plain = [b" " + b" ".join(words[i : i + 8]) + b" " for words in ordinary for i in range(0, len(words), 8)]
     rng.shuffle(plain)
-    common = _content(plain[:40_000], ORDINARY_DICTIONARY)
+    common = _content(plain, ORDINARY_DICTIONARY)
     trained = _content(picked, TOXIC_DICTIONARY)
     whole = b"".join(b" %b " % m for m in sorted(marks))[: 2 * TOXIC_DICTIONARY]
     # bytes that no UTF-8 text holds keep the ordinary dictionary as long, so that both index the common content alike
@@ -222,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     if not ids:
         return Model()
     picked = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")  # at most 2 * sample_rows rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     rows = sorted((r.doc_id, r.text, r.toxic) for r in texts.toLocalIterator())
     random.Random(11).shuffle(rows)
     return fit_rows([(t, y) for _, t, y in rows])
@@ -238,8 +234,7 @@ class _Scorer:
     def _gain(self, word: bytes) -> int:
         gain = self.known.get(word)
         if gain is None:
-            # every part of a long word is a window of its own
-            gain = self.gains.of(word) if len(word) <= LONGEST else max(self.gains.of(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
+            gain = self.gains.of(word)
             if len(word) <= LONGEST:
                 self.known[word] = gain
         return gain

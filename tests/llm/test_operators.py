@@ -293,6 +293,17 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(odd(spark), none).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choices(["the", "an", "tion", "er", "wh", "ing", "ble", "st"], k=rng.randint(1, 3))) for _ in range(1000)]
+    body = lambda: " ".join(rng.choices(plain, k=4000))
+    texts = [body() + (" vileword nastything grimslur vileword" if i % 2 else "") for i in range(80)]
+    assert all(len(t) > 20_000 and "vile" not in t[:20_000] for t in texts)
+    table = docs(spark, texts)
+    model = toxicity.fit(table, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
+    assert {r.doc_id: r.predicted for r in toxicity.score(table, model).collect()} == {i: i % 2 for i in range(80)}
+
+
 def test_tree_weighting(spark, monkeypatch):
     rng = random.Random(5)
     texts = ["".join(rng.choices("abC \n", k=rng.randint(0, 40))) for _ in range(60)] + [None, "é漢", "zzzz"]
