@@ -117,11 +117,15 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, .
     """Per row of docs: doc_id, a count per rule of BASE, and spans, an array of (start, ordinal, kind, end, base) in order; null where nothing was found."""
     ledger = ledger or BlobLedger(docs.sparkSession)
     paths = ledger.update(docs, rules)
+    return paths.join(_per_blob(ledger, rules), "blob", "left").select("doc_id", "spans")
+
+
+def _per_blob(ledger: BlobLedger, rules: tuple[Rule, ...]) -> DataFrame:
+    """Of every blob with findings: blob and spans."""
     current = [r.key for r in rules]
     kind = F.split("rule", "@")[0].alias("kind")
     found = ledger.findings().where(F.col("rule").isin(current)).select("blob", F.struct("start", "ordinal", kind, "end", (F.col("ordinal") < len(BASE)).alias("base")).alias("span"))
-    per_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # bounded by one text
-    return paths.join(per_blob, "blob", "left").select("doc_id", "spans")
+    return found.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # bounded by one text
 
 
 def _joined(spans: Column) -> Column:
@@ -141,8 +145,10 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with its columns and order of columns; in text, every span found is replaced by [KIND]; matches that are too short stay."""
     secret = docs["text"]
-    flagged = scan(docs, ledger, rules).where(F.col("spans").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    joined = docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["_id"]), "left")
+    ledger = ledger or BlobLedger(docs.sparkSession)
+    ledger.update(docs, rules)
+    flagged = _per_blob(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = docs.join(flagged, blob(F.coalesce(secret, F.lit(""))) == flagged["_blob"], "left")
     # spans that overlap count as one, named after the first; the text is put together from the ends of one to the starts of the next
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     folded = F.aggregate(
