@@ -97,7 +97,7 @@ class _Chunker:
             node = nodes[i]
             inner = parent
             if node.kind in self.kinds:
-                inner = self.define(node, nodes[:i] if i < 200 else nodes[i - 200 : i], parent)
+                inner = self.define(node, nodes, i, parent)
                 if inner is None:
                     continue
             if node.children:
@@ -109,12 +109,12 @@ class _Chunker:
             self.add(stem, "module", stem, None, (1, text.count("\n") + (not text.endswith("\n"))), (0, len(self.raw)), text)
         return self.rows
 
-    def define(self, node: Node, before: list[Node], parent: str | None) -> str | None:
+    def define(self, node: Node, nodes: list[Node], at: int, parent: str | None) -> str | None:
         """Add a definition's rows; the symbol path for those inside, or None if a split has dealt with them."""
         name = self.name(node)
         path = name if parent is None else f"{parent}::{name}"
         kind = symbol_kind(node.kind)
-        doc = self.doc(before)
+        doc = self.doc(nodes, at)
         signature = self.text(node.start, node.body if node.body is not None else node.end).strip() if node.kind in _CALLABLE else None
         if node.end - node.start <= SPLIT_BYTES:
             self.add(name, kind, path, parent, (self.line(node.start), self.line(node.end)), (node.start, node.end), self.text(node.start, node.end), signature or None, doc)
@@ -122,12 +122,12 @@ class _Chunker:
         self.split(node, name, kind, path, signature or None, doc)
         return None
 
-    def doc(self, before: list[Node]) -> str | None:
+    def doc(self, nodes: list[Node], at: int) -> str | None:
+        """The comments right before the node at a place of a list, however many."""
         found = []
-        for n in reversed(before):
-            if n.kind not in _COMMENTS:
-                break
-            found.append(self.text(n.start, n.end).strip())
+        while at and nodes[at - 1].kind in _COMMENTS:
+            at -= 1
+            found.append(self.text(nodes[at].start, nodes[at].end).strip())
         return "\n".join(reversed(found)) or None
 
     def split(self, node: Node, name: str, kind: str, path: str, signature: str | None, doc: str | None) -> None:
@@ -142,7 +142,7 @@ class _Chunker:
             for i, c in inner:
                 own = self.name(c)
                 sig = self.text(c.start, c.body if c.body is not None else c.end).strip() if c.kind in _CALLABLE else None
-                self.add(own, symbol_kind(c.kind), f"{path}::{own}", path, (self.line(c.start), self.line(c.end)), (c.start, c.end), self.text(c.start, c.end), sig, self.doc(node.children[:i]))
+                self.add(own, symbol_kind(c.kind), f"{path}::{own}", path, (self.line(c.start), self.line(c.end)), (c.start, c.end), self.text(c.start, c.end), sig, self.doc(node.children, i))
             return
         lines = self.text(node.start, node.end).replace("\r\n", "\n").removesuffix("\n").split("\n")
         for part, i in enumerate(range(0, len(lines), SLICE_LINES)):

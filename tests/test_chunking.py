@@ -17,6 +17,13 @@ def test_rust():
     assert chunk_source("/// d\n#[test]\nfn f() {}\n", "rust", "a.rs")[0]["doc_comment"] is None
 
 
+@pytest.mark.parametrize("body", ["1", "x" * 20_000])
+def test_doc_comments_have_no_bound(body):
+    lines = [f"/// line {i}" for i in range(500)]
+    first = chunk_source("struct S;\n" + "\n".join(lines) + f"\nfn f() {{ {body} }}\n", "rust", "a.rs")[1]
+    assert first["doc_comment"] == "\n".join(lines)
+
+
 def test_python():
     source = "import os\n# c\ndef f(a):\n    return a\n\n@d\nclass C:\n    def m(self):\n        pass\n"
     assert rows(source, "python") == [("function", "f"), ("decorated", "C"), ("class", "C::C"), ("function", "C::C::m")]
