@@ -9,7 +9,8 @@ question that only changes its numbers, names or units is caught, and one that f
 DataFrame functions only.
 
 Defined cases: null texts have no token; items of fewer than LITERALS tokens, or of placeholders alone, match nothing; null doc_id or item_id is kept;
-repeated rows of documents yield one result, equal items each; an empty table on either side yields no row; other columns are ignored.
+a document is a doc_id with its text, so that different texts under one doc_id, or under none, are apart and yield a result each; repeated rows of
+documents yield one result, equal items each; an empty table on either side yields no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +62,11 @@ def _literal(column: str) -> str:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per contaminated document and item: doc_id, item_id, n_windows, n_slots and changed (whether a slot's value differs)."""
+    return _matches(docs, benchmark).drop("doc_key")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """matches with doc_key, the hash of the document's text."""
     items = benchmark.select("item_id", F.expr(tokens("text")).alias("words")).withColumn("kinds", F.expr(typed("words"))).where(_literal("kinds"))
     items = items.withColumn("text_key", F.xxhash64("words"))
     once = items.groupBy("text_key").agg(F.min_by("words", F.coalesce("item_id", F.lit(0))).alias("words"), F.min_by("kinds", F.coalesce("item_id", F.lit(0))).alias("kinds"))
@@ -72,24 +78,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     frames = cut(frames.select("text_key", F.col("size").alias("_size"), F.col("place").alias("item_place"), F.col("hash").alias("_hash"), F.expr("slice(words, place + 1, size)").alias("item_words"), "part"), "frames")
     small = fits(frames, BROADCAST_WINDOWS)
 
-    texts = docs.select("doc_id", F.expr(tokens("text")).alias("words")).withColumn("kinds", F.expr(typed("words")))
+    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("doc_key")).alias("doc"), F.expr(tokens("text")).alias("words")).withColumn("kinds", F.expr(typed("words")))
     wanted = {n: frames.where(F.col("_size") == n) for n in lengths}
-    met = reduce(DataFrame.unionByName, [_windows(texts, "doc_id", n).join(F.broadcast(f) if small else f, F.col("hash") == F.col("_hash")).withColumn("size", F.lit(n)) for n, f in wanted.items()])
+    met = reduce(DataFrame.unionByName, [_windows(texts, "doc", n).join(F.broadcast(f) if small else f, F.col("hash") == F.col("_hash")).withColumn("size", F.lit(n)) for n, f in wanted.items()])
     met = met.where(F.expr("slice(kinds, place + 1, size) = part"))
     slots = F.expr("filter(transform(part, (k, i) -> named_struct('kind', k, 'old', item_words[i], 'new', words[place + i])), x -> x.kind in ('<number>', '<name>', '<unit>'))")
-    found = met.select("doc_id", "text_key", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", slots.alias("slots")).dropDuplicates(["doc_id", "text_key", "shift", "item_place"])
-    runs = found.groupBy("doc_id", "text_key", "shift").agg(F.count(F.lit(1)).alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))  # bounded by the item's length
+    found = met.select("doc.doc_id", "doc.doc_key", "text_key", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", slots.alias("slots")).dropDuplicates(["doc_id", "doc_key", "text_key", "shift", "item_place"])
+    runs = found.groupBy("doc_id", "doc_key", "text_key", "shift").agg(F.count(F.lit(1)).alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))  # bounded by the item's length
     consistent = F.expr("size(slots) = size(array_distinct(transform(slots, s -> struct(s.kind, s.old)))) and size(slots) = size(array_distinct(transform(slots, s -> struct(s.kind, s.new))))")
     good = runs.where(consistent).join(per_item, "text_key").where((F.col("n_windows") >= F.ceil(F.col("n_item") * SHARE)) | (F.col("n_windows") >= RUN))
-    best = good.groupBy("doc_id", "text_key").agg(F.max(F.struct("n_windows", F.size("slots").alias("n_slots"), F.expr("exists(slots, s -> s.old <> s.new)").alias("changed"))).alias("b"))
+    best = good.groupBy("doc_id", "doc_key", "text_key").agg(F.max(F.struct("n_windows", F.size("slots").alias("n_slots"), F.expr("exists(slots, s -> s.old <> s.new)").alias("changed"))).alias("b"))
     named = items.select("item_id", "text_key")
-    return best.join(named, "text_key").select("doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.changed").alias("changed"))
+    return best.join(named, "text_key").select("doc_id", "doc_key", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.changed").alias("changed"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item of the benchmark."""
-    hit = matches(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
+    hit = _matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_key"]), "left_anti")
 
 
 def _oracle() -> str:

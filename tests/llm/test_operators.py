@@ -166,6 +166,20 @@ def test_decontamination(spark):
     assert decontamination.matches(odd(spark), empty).count() == 0 and decontamination.clean(odd(spark), bench).count() == odd(spark).count()
 
 
+def test_decontamination_tells_texts_of_one_id_apart(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    words = ITEM.split()
+    halves = [" ".join(words[:11]), "other words here " + " ".join(words[8:])]
+    rows = [(i, t) for i in (None, 5) for t in ("see " + ITEM, "ends in " + ITEM, "a clean text")] + [(None, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert sorted(r.doc_id or 0 for r in decontamination.matches(table, bench).collect()) == [0, 0, 5, 5]
+    kept = [(r.doc_id, r.text) for r in decontamination.clean(table, bench).collect()]
+    assert Counter(kept) == Counter([(None, "a clean text"), (5, "a clean text"), (None, None)])
+    apart = spark.createDataFrame([(None, t, "en", "s", 1) for t in halves], DOCS)  # windows of two texts are no alignment
+    alone = sum(decontamination.matches(docs(spark, [t]), bench).count() for t in halves)
+    assert decontamination.matches(apart, bench).count() == alone
+
+
 def test_sentence_pieces(tokenizer):
     import sentencepiece
 
