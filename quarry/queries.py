@@ -119,7 +119,7 @@ def content_hash(spark, sf_dir):
 
 @query()
 def content_hash_blake3(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", identity.content_hash(F.col("text"), "blake3").alias("content_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", identity.content_hash(F.col("text"), "blake3").alias("content_hash"))
 
 
 _NAME = """source || ':' || lang || ':' || 'module' || ':0:' || strlen("text") || ':' || sha256("text")"""
@@ -410,13 +410,34 @@ def job_status_line(spark, sf_dir):
     return e.select("user_id", text.job_line(F.concat(F.lit("job"), F.col("user_id").cast("string")), F.lit("parsing"), F.col("d"), F.col("view"), F.col("click"), F.col("purchase")).alias("line"))
 
 
+#: By language of a file: its suffix, and for a function and a type what comes before the text, before each of its lines and after it.
+_FILES = (
+    ("py", ("def f_{}(a):", "    # ", "\n    return a\n"), ("class C_{}:", "    # ", "\n    def m(self):\n        return 1\n")),
+    ("rs", ("fn f_{}() {{", "    // ", "\n}}\n"), ("impl C_{} {{", "    // ", "\n    fn m(&self) {{}}\n}}\n")),
+    ("ts", ("function f_{}() {{", "    // ", "\n}}\n"), ("class C_{} {{", "    // ", "\n    m() {{ return 1; }}\n}}\n")),
+    ("tsx", ("function f_{}() {{", "    // ", "\n}}\n"), ("class C_{} {{", "    // ", "\n    m() {{ return 1; }}\n}}\n")),
+    ("go", ("func f_{}() {{", "    // ", "\n}}\n"), ("func g_{}() {{", "    // ", "\n}}\n")),
+)
+
+
+def _source_files(docs: DataFrame) -> DataFrame:
+    """A file per document that holds its whole text: as the comments in a function or a type, a sentence or line each, or as it is, in every language."""
+    id_, form = F.col("doc_id"), F.floor(F.col("doc_id") / len(_FILES)) % 3
+
+    def around(before: str, each: str, after: str):
+        lines = F.regexp_replace("text", r"\r?\n|(?<=[.!?,;]) ", "\n" + each)
+        return F.concat(F.format_string(before.replace("{}", "%s").replace("{{", "{"), id_.cast("string")), F.lit("\n" + each), lines, F.lit(after.format()))
+
+    cases = [F.when(F.pmod(id_, F.lit(len(_FILES))) == i, F.when(form == 0, around(*function)).when(form == 1, around(*kind)).otherwise(F.col("text"))) for i, (_, function, kind) in enumerate(_FILES)]
+    suffix = F.element_at(F.array(*[F.lit(f[0]) for f in _FILES]), (F.pmod(id_, F.lit(len(_FILES))) + 1).cast("int"))
+    body = F.coalesce(*cases)
+    return docs.select(F.concat("source", F.lit("/"), id_.cast("string"), F.lit("."), suffix).alias("path"), F.lit("").alias("mtime"), F.octet_length(body).cast("long").alias("size"), body.alias("content"))
+
+
 @query()
 def source_chunks(spark, sf_dir):
-    """Definitions in a small tree of sources that is made of the documents' own words."""
+    """Definitions in a tree of sources that hold the documents' whole texts."""
     from quarry.operators.chunking import chunk_files
 
-    docs = table(spark, sf_dir, "documents")
-    name = F.regexp_replace(F.lower(F.substring("text", 1, 6)), "[^a-z]", "x")
-    body = F.concat(F.lit("# "), F.substring_index("text", "\n", 1), F.lit("\ndef f_"), name, F.lit("(a):\n    return a\n\n\nclass C:\n    def m(self):\n        return 1\n"))
-    files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("").alias("mtime"), F.octet_length(body).cast("long").alias("size"), body.alias("content"))
+    files = _source_files(table(spark, sf_dir, "documents"))
     return chunk_files(files, "repo").select("path", "symbol_name", "symbol_kind", "symbol_path", "line_start", "line_end", "byte_start", "byte_end", "signature", "doc_comment", "content_hash")
