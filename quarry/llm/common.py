@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name below spark.checkpoint.dir; only where that is unset (tests), below a temporary folder that is set as checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder name below spark.checkpoint.dir, the folder that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-            base = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/quarry/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -50,6 +49,22 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
+#: Text bytes that an operator takes from an Arrow batch at once; a longer text is taken alone.
+SLICE_BYTES = 1 << 19
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about size bytes, and most rows, at most."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    i = 0
+    while i < len(ends):
+        before = int(ends[i - 1]) if i else 0
+        j = min(max(i + 1, int(np.searchsorted(ends, before + size, side="right"))), i + most)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -104,21 +119,39 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(max(n, 1), dtype=np.uint64)
+    out = np.empty(n, dtype=np.uint64)
     out[0] = 1
     done = 1
     while done < n:
         take = min(done, n - done)
         np.multiply(out[:take], np.uint64(pow(base, done, 1 << 64)), out=out[done : done + take])
         done += take
-    return out[:n]
+    return out
+
+
+#: Bytes whose words are hashed at once; a longer word is taken alone.
+HASH_BYTES = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _scales() -> tuple[np.ndarray, np.ndarray]:
+    """base**position and its inverse for the places of HASH_BYTES, once per process."""
+    return _powers(_BASE, HASH_BYTES), _powers(_INVERSE, HASH_BYTES)
 
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word by prefix sums of base**position * code(byte), brought back to position 0 and mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(low) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[low] * _powers(_BASE, len(low)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(low))[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * _MULTIPLIER)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, first + HASH_BYTES, side="right")))
+        size = int(ends[j - 1]) - first
+        up, down = _scales() if size <= HASH_BYTES else (_powers(_BASE, size), _powers(_INVERSE, size))
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.multiply(_BYTE_CODE[low[first : first + size]], up[:size], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        s, e = starts[i:j] - first, ends[i:j] - first
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _MULTIPLIER)
+        i = j
+    return out

@@ -1,12 +1,13 @@
-"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, and how much better the one compresses each word window than the other.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, and how much better the one compresses a window than the other.
 
-Fit (on the driver, over a bounded sample of labelled rows): words and beginnings of words that mark toxic rows of the sample give the samples of the
-toxic dictionary, windows of ordinary rows those of the other; zstandard's trainer picks the contents. The toxic one holds the ordinary content too,
-so that the lengths differ by what marks toxic text alone. A window is a word between two fixed carriers that both
-dictionaries hold, so that its compressed length is the cost of the word alone. A second part of the sample, which the dictionaries have not seen,
-calibrates: a logistic curve over the gains of the best windows gives the score, and 0.5 is the threshold.
+Fit, over a bounded sample of labelled rows with whole texts, by MEMBERS that differ in their splits. Each member trains a dictionary on windows of
+ordinary rows; its toxic dictionary has the same content and beside it what zstandard's trainer makes of windows of toxic rows. Most windows of a
+toxic row are ordinary, so training goes in rounds: the toxic rows are in FOLDS, the windows of each are compared by the dictionary of the others,
+and those that gain more than all but a share of an ordinary control's windows are what the next round trains on. A window that gains only because
+its own text was learnt never counts. A logistic curve over the cross-fitted gains of whole rows calibrates, and 0.5 is its threshold.
 
-Score (on the executors): every window of every whole text. A window's gain depends on its word alone, so each distinct word is compressed once.
+Score: every window of every whole text. Windows are the words, between two fixed carriers that both dictionaries hold, and, about each word that
+gains anything, the three words around it. A word's gain depends on the word alone, so each distinct word is compressed once.
 
 Defined cases: null or empty texts have no window and take the curve's value at no gain; a null doc_id is held out of nothing and scored; rows
 without a label, with a null label or a null text teach nothing; repeated rows count once in the fit and each yields a row; an empty or one-class
@@ -15,8 +16,8 @@ label table gives the score 0 to all (share of toxic rows, if all are toxic: 1);
 
 from __future__ import annotations
 
+import json
 import random
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,71 +27,78 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, text_bytes, folded_words, word_hashes
+from quarry.llm.common import byte_slices, cut, folded_words, mix, text_bytes, word_hashes
 
 #: Labelled rows of each class that a fit takes at most, by ascending hash of doc_id; their texts are read whole.
 SAMPLE_ROWS = 4000
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 8 << 10, 32 << 10
-LEVELS = (3, 12)
+MEMBERS, FOLDS = 3, 3
+#: Bytes of the ordinary dictionary, and of what is trained on toxic windows in each round.
+ORDINARY, TOXIC_ROUNDS = 192 << 10, (64 << 10, 32 << 10, 32 << 10)
+#: The share of the control's windows that a toxic row's window has to surpass, and windows of that control.
+SURPASSED, CONTROL = 0.98, 60_000
+LEVEL, SEGMENT, RUN = 6, 12, 6
 #: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
 CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
-#: Bytes of the longest window, and words that a Python worker remembers.
-LONGEST, WORDS_KNOWN = 64, 500_000
-#: Bytes by which a window must compress better to count as strong: the choices of the calibration.
-STRONG = range(2, 11)
-FEATURES = 4
+#: Bytes of the longest word in a window, words of an ordinary window that is trained on, and words that a Python worker remembers.
+LONGEST, WORDS, WORDS_KNOWN = 64, 6, 400_000
+STRONG = (1, 2, 3)
 
 
 @dataclass
 class Model:
-    """The two dictionaries' contents and the calibrated curve; without dictionaries a constant."""
+    """Each member's ordinary and toxic content, and the calibrated curve; without members a constant."""
 
-    toxic: bytes = b""
-    ordinary: bytes = b""
+    members: list[tuple[bytes, bytes]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     constant: float = 0.0
-    strong_from: int = 3
+
+
+def windows(words: list[bytes]) -> list[bytes]:
+    """The words of a text as windows; every part of a long one is a window of its own."""
+    return [w for word in words for w in ([word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)])]
 
 
 class Gains:
-    """Bytes that the toxic dictionary saves over the ordinary one, per word, beyond what it saves on a window without a word."""
+    """Bytes that a toxic dictionary saves over the ordinary one, per window."""
 
-    def __init__(self, model: Model):
-        def packer(content: bytes, level: int):
-            data = zstandard.ZstdCompressionDict(content + CARRIER + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-        self.pairs = [(packer(model.toxic, level), packer(model.ordinary, level)) for level in LEVELS]
-        self.least = [0] * len(LEVELS)
-        self.least = self._of(b"")
-
-    def _of(self, word: bytes) -> list[int]:
-        window = b"%b %b %b" % (CARRIER, word, CARRIER)
-        return [len(ordinary(window)) - len(toxic(window)) - least for (toxic, ordinary), least in zip(self.pairs, self.least, strict=True)]
-
-    def of(self, word: bytes) -> int:
-        """The least of the levels' gains: where one level's parse misses a match in one dictionary, the other's seldom does. Every part of a long word is a window of its own."""
-        return min(self._of(word)) if len(word) <= LONGEST else max(min(self._of(word[i : i + LONGEST])) for i in range(0, len(word), LONGEST))
-
-
-def features(gains: np.ndarray, offsets: np.ndarray, strong_from: int) -> np.ndarray:
-    """Per row: the largest gain, the second largest, the number of windows with a gain of strong_from bytes or more, and their share, the last two in logarithm."""
-    n = len(offsets) - 1
-    out = np.zeros((n, FEATURES))
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(n), sizes)
-    hot = np.flatnonzero(gains > 0)
-    order = hot[np.lexsort((-gains[hot], row[hot]))]
-    rows = row[order]
-    rank = np.arange(len(order)) - np.searchsorted(rows, rows, side="left")
-    for k in range(2):
-        at = order[rank == k]
-        out[row[at], k] = gains[at]
-    strong = np.bincount(row[gains >= strong_from], minlength=n)
-    out[:, 2] = np.log1p(strong)
-    out[:, 3] = np.log1p(100 * strong / np.maximum(sizes, 10))
-    return out
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        # bytes that no UTF-8 text holds keep the ordinary dictionary as long, so that both index the common content alike
+        blank = random.Random(len(toxic)).choices(b"\xf8\xf9\xfa\xfb\xfc\xfd\xfe\xff", k=len(toxic))
+        self.pair = [self._packer(content + ordinary) for content in (toxic, bytes(blank))]
+
+    @staticmethod
+    def _packer(content: bytes):
+        data = zstandard.ZstdCompressionDict(content + CARRIER + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+    def of(self, window: bytes) -> int:
+        framed = b"%b %b %b" % (CARRIER, window, CARRIER)
+        toxic, ordinary = self.pair
+        return len(ordinary(framed)) - len(toxic(framed))
+
+    def all(self, found: list[bytes]) -> np.ndarray:
+        known = {w: self.of(w) for w in dict.fromkeys(found)}
+        return np.fromiter((known[w] for w in found), np.int32, len(found))
+
+
+def features(gains: np.ndarray, around: np.ndarray) -> list[float]:
+    """Of a row's windows, and of those around the words that gain anything: the two largest gains, the number of strong ones by threshold, their share, and the number of windows."""
+    n = max(len(gains), 5)
+    top = np.sort(np.concatenate([gains, [0, 0]]))[:-3:-1]
+    strong = [int((gains >= t).sum()) for t in STRONG]
+    found = [*np.clip(top, 0, 12), *np.log1p(strong), *np.log1p(100 * np.array(strong) / n), np.log(n), min(int(around.max(initial=0)), 12), np.log1p(int((around >= STRONG[-1]).sum()))]
+    return [float(x) for x in found]
+
+
+def _around(words: list[bytes], places: list[int]) -> list[bytes]:
+    return [b" ".join(w[:LONGEST] for w in words[max(i - 1, 0) : i + 2]) for i in places]
+
+
+def row_features(words: list[bytes], gains: Gains) -> list[float]:
+    """The features of a text's words by one pair of dictionaries."""
+    g = gains.all(words)
+    return features(g, gains.all(_around(words, np.flatnonzero(g > 0).tolist())))
 
 
 def probability(x: np.ndarray, weights: list[float]) -> np.ndarray:
@@ -98,8 +106,8 @@ def probability(x: np.ndarray, weights: list[float]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> list[float]:
-    """Newton steps for a ridge-penalised logistic curve, both classes with equal weight on their own share."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.1) -> list[float]:
+    """Newton steps for a ridge-penalised logistic curve."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(a.shape[1])
@@ -113,143 +121,171 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
 
 
 def _copies_once(rows: list[tuple[str, int]]) -> list[tuple[list[bytes], int]]:
-    """One of the rows that share one of two minima over hashes of four-word runs: copies would pass off their own words as marks of a class."""
+    """The windows of one of the rows that share one of two minima over hashes of four-word runs: copies would pass off their own words as marks of a class."""
     seen: set[tuple[int, int]] = set()
     once: dict[bytes, bytes] = {}  # equal words of all rows are one object
     out = []
     for text, label in rows:
         raw, offsets = text_bytes(pa.array([text], pa.string()))
         low, starts, ends, _ = folded_words(raw, offsets)
-        text_low = low.tobytes()
-        words = [once.setdefault(w, w) for w in (text_low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))]
         h = word_hashes(low, starts, ends)
-        for k in range(1, min(4, len(h))):
+        for _ in range(3):
             h = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h
         if not len(h):
             continue
         keys = {(0, int(h.min())), (1, int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).min()))}
         if not keys & seen:
-            out.append((words, label))
+            text_low = low.tobytes()
+            out.append(([once.setdefault(w, w) for w in windows([text_low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])], label))
         seen |= keys
     return out
 
 
-def fit_rows(rows: list[tuple[str, int]]) -> Model:
-    """The model of labelled texts (text, 0 or 1), in the order given."""
-    rows = [(t or "", int(y)) for t, y in rows if y is not None]
-    share = float(np.mean([y for _, y in rows])) if rows else 0.0
-    docs = _copies_once(rows)
-    toxic, ordinary = ([w for w, y in docs if y == k] for k in (1, 0))
-    if len(toxic) < 4 or len(ordinary) < 4:
-        return Model(constant=1.0 if share == 1 else 0.0)
-    learn_t, learn_o = (x[: len(x) * 2 // 3] for x in (toxic, ordinary))
-    model = _dictionaries(learn_t, learn_o)
-    if model is None:
-        return Model(constant=share)
-    held = [(w, 1) for w in toxic[len(learn_t) :]] + [(w, 0) for w in ordinary[len(learn_o) :]]
-    gains, y = Gains(model), np.array([k for _, k in held], float)
-    known = {w: gains.of(w) for w in set().union(*(words for words, _ in held))}
-    flat = np.array([known[w] for words, _ in held for w in words], np.int64)
-    offsets = np.cumsum([0, *(len(words) for words, _ in held)])
-    curves = [(_logistic(features(flat, offsets, k), y), k) for k in STRONG]
-
-    def loss(curve) -> float:
-        p = np.clip(probability(features(flat, offsets, curve[1]), curve[0]), 1e-6, 1 - 1e-6)
-        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-
-    weights, strong_from = min(curves, key=loss)
-    model.weights, model.strong_from = weights, strong_from
-    return model
-
-
-def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model | None:
-    """The dictionaries of the words of toxic and of ordinary rows; None if nothing marks the toxic ones."""
-    in_toxic, in_ordinary = (Counter(g for words in part for g in _candidates(words)) for part in (toxic, ordinary))
-    marks = _marks(in_toxic, in_ordinary, len(toxic) / (len(toxic) + len(ordinary)))
-    if not marks:
-        return None
-    rng = random.Random(7)
-    picked = [b" " + m for m in sorted(marks) for _ in range(min(40, in_toxic[m]))]
-    rng.shuffle(picked)
-    plain = [b" " + b" ".join(words[i : i + 8]) + b" " for words in ordinary for i in range(0, len(words), 8)]
-    rng.shuffle(plain)
-    common = _content(plain, ORDINARY_DICTIONARY)
-    trained = _content(picked, TOXIC_DICTIONARY)
-    whole = b"".join(b" %b " % m for m in sorted(marks))[: 2 * TOXIC_DICTIONARY]
-    # bytes that no UTF-8 text holds keep the ordinary dictionary as long, so that both index the common content alike
-    return Model(common + trained + whole, common + bytes(rng.choice(b"\xf8\xf9\xfa\xfb\xfc\xfd\xfe\xff") for _ in trained + whole))
-
-
-def _candidates(words: list[bytes]) -> set[bytes]:
-    """What may mark a class: the words, each with the space after it, and their beginnings of four bytes or more."""
-    distinct = set(words)
-    return {w + b" " for w in distinct} | {w[:k] for w in distinct for k in range(4, min(len(w), 10) + 1)}
-
-
-def _marks(in_toxic: Counter, in_ordinary: Counter, share: float) -> set[bytes]:
-    """Candidates that toxic rows hold more often than chance lets any of so many: by Chernoff's bound on the binomial tail, and by a factor of ten at least."""
-    least = np.log(len(in_toxic) + 1) + 3
-    out = set()
-    for w, n in in_toxic.items():
-        m = n + in_ordinary[w]
-        q = min(n / m, 1 - 1e-9)
-        if q > share and n * np.log(q / share) + (m - n) * np.log((1 - q) / (1 - share)) > least and n * (1 - share) > 10 * in_ordinary[w] * share:
-            out.add(w)
-    longer: dict[bytes, int] = {}
-    for w in out:
-        for k in range(4, len(w)):
-            longer[w[:k]] = max(longer.get(w[:k], 0), in_toxic[w])
-    return {w for w in out if longer.get(w, 0) < 0.8 * in_toxic[w]}  # a beginning gives way to a longer mark that is nearly as frequent
-
-
 def _content(samples: list[bytes], size: int) -> bytes:
     """The content of a dictionary that zstandard's trainer makes of samples; where they are too few to train on, the samples themselves."""
     try:
         # the header and entropy tables before the content stay in: as raw content they match nothing
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=RUN, f=20, accel=1, level=3).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
+def toxic_windows(toxic: list[list[bytes]], ordinary: bytes, control: list[bytes]) -> list[list[bytes]]:
+    """Of each fold of toxic rows the windows that gain by the dictionaries of the other folds, after all rounds."""
+    folds = [[w for words in toxic[k::FOLDS] for w in dict.fromkeys(words)] for k in range(FOLDS)]
+    kept = folds
+    for size in TOXIC_ROUNDS:
+        taken = []
+        for k in range(FOLDS):
+            gains = Gains(ordinary, _content([b" %b " % w for j in range(FOLDS) if j != k for w in kept[j]], size))
+            least = max(1, int(np.quantile(gains.all(control), SURPASSED))) if control else 1
+            taken.append([w for w, g in zip(folds[k], gains.all(folds[k]), strict=True) if g > least])
+        if not any(taken):
+            break
+        kept = taken
+    return kept
+
+
+def fit_member(docs: list[tuple[list[bytes], int]], seed: int) -> tuple[bytes, bytes, list[list[float]]]:
+    """A member's ordinary and toxic content, and the cross-fitted features of the rows of calibration_rows, in order."""
+    toxic, ordinary, held = _split(docs)
+    rng = random.Random(seed)
+    rng.shuffle(ordinary)
+    half = len(ordinary) // 2
+    plain = [b" %b " % b" ".join(words[i : i + WORDS]) for words in ordinary[:half] for i in range(0, len(words), WORDS)]
+    rng.shuffle(plain)
+    common = _content(plain, ORDINARY)
+    control = [w for words in ordinary[half:] for w in dict.fromkeys(words)]
+    rng.shuffle(control)
+    kept = toxic_windows(toxic, common, control[:CONTROL])
+    size = TOXIC_ROUNDS[-1]
+    found: dict[tuple[int, int], list[float]] = {}
+    for k in range(FOLDS):
+        gains = Gains(common, _content([b" %b " % w for j in range(FOLDS) if j != k for w in kept[j]], size))
+        for label, rows in ((1, toxic), (0, held)):
+            for i in range(k, len(rows), FOLDS):
+                found[label, i] = row_features(rows[i], gains)
+    final = _content([b" %b " % w for part in kept for w in part], size)
+    return common, final, [found[1, i] for i in range(len(toxic))] + [found[0, i] for i in range(len(held))]
+
+
+def _split(docs: list[tuple[list[bytes], int]]) -> tuple[list, list, list]:
+    """Toxic rows, ordinary rows to learn from and, a third, ordinary rows to calibrate with."""
+    toxic, ordinary = ([w for w, y in docs if y == k] for k in (1, 0))
+    return toxic, [w for i, w in enumerate(ordinary) if i % 3], ordinary[::3]
+
+
+def calibrated(toxic: int, members: list[tuple[bytes, bytes, list[list[float]]]], odds: float) -> Model:
+    """The model of fitted members; the first so many rows of their features are toxic. odds: toxic rows to ordinary ones among all that are labelled, not only those that calibrate."""
+    x = np.mean([m[2] for m in members], axis=0)
+    y = (np.arange(len(x)) < toxic).astype(float)
+    weights = _logistic(x, y)
+    weights[-1] += float(np.log(odds * (len(x) - toxic) / toxic))
+    return Model([m[:2] for m in members], weights)
+
+
+def _one_class(rows: list[tuple[str, int]], docs: list) -> Model | None:
+    n = [sum(y == k for _, y in docs) for k in (0, 1)]
+    if min(n) >= 2 * FOLDS:
+        return None
+    return Model(constant=1.0 if rows and all(y == 1 for _, y in rows) else 0.0)
+
+
+def fit_rows(rows: list[tuple[str, int]]) -> Model:
+    """The model of labelled texts (text, 0 or 1), in the order given."""
+    rows = [(t or "", int(y)) for t, y in rows if y is not None]
+    docs = _copies_once(rows)
+    toxic = sum(y for _, y in docs)
+    return _one_class(rows, docs) or calibrated(toxic, [fit_member(docs, seed) for seed in range(MEMBERS)], toxic / (len(docs) - toxic))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0: of each class the sample_rows with the least hash of doc_id."""
+    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0: of each class the sample_rows with the least hash of doc_id. A task fits a member; the
+    driver receives the dictionaries and a few numbers for each of at most 2 * sample_rows rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).distinct()
-    ids = [r for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
-    if not ids:
+    first, second = (known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1))
+    picked = F.broadcast(first.union(second))  # at most 2 * sample_rows rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").join(picked, "doc_id").dropDuplicates(["doc_id", "toxic"])
+    sample = cut(texts.select("doc_id", "text", "toxic"), "labelled")
+
+    def member(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("toxic").to_pylist(), table.column("text").to_pylist(), strict=True))
+        random.Random(11).shuffle(rows)
+        labelled = [(t, y) for _, y, t in rows]
+        found = _copies_once(labelled)
+        one = _one_class(labelled, found)
+        common, final, x = fit_member(found, key[0].as_py()) if one is None else (b"", b"", [])
+        made = {"member": key[0].as_py(), "toxic_rows": sum(y for _, y in found), "constant": one.constant if one else None, "common": common, "content": final, "features": json.dumps(x)}
+        return pa.Table.from_pylist([made], schema=pa.schema([("member", pa.int32()), ("toxic_rows", pa.int64()), ("constant", pa.float64()), ("common", pa.binary()), ("content", pa.binary()), ("features", pa.string())]))
+
+    each = sample.withColumn("member", F.explode(F.array(*[F.lit(m) for m in range(MEMBERS)])))
+    fitted = each.groupBy("member").applyInArrow(member, "member int, toxic_rows long, constant double, common binary, content binary, features string")
+    rows = sorted(cut(fitted, "members").collect())  # MEMBERS rows
+    if not rows:
         return Model()
-    picked = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")  # at most 2 * sample_rows rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in texts.toLocalIterator())
-    random.Random(11).shuffle(rows)
-    return fit_rows([(t, y) for _, t, y in rows])
+    if rows[0].constant is not None:
+        return Model(constant=rows[0].constant)
+    share = known.agg(F.avg("toxic")).first()[0]
+    return calibrated(rows[0].toxic_rows, [(bytes(r.common), bytes(r.content), json.loads(r.features)) for r in rows], share / (1 - share))
 
 
 class _Scorer:
-    """Scores texts with a model; a word's gain is found once and remembered, up to a bounded number of words."""
+    """Scores texts with a model; a word's gains are found once and remembered, up to a bounded number of words."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        self.gains = Gains(model) if model.weights else None
+        self.gains = [Gains(*m) for m in model.members]
 
-    def _gain(self, word: bytes) -> int:
+    def _gain(self, word: bytes) -> tuple[int, ...]:
         gain = self.known.get(word)
         if gain is None:
-            gain = self.gains.of(word)
-            if len(word) <= LONGEST:
-                self.known[word] = gain
+            gain = self.known[word] = tuple(g.of(word) for g in self.gains)
         return gain
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        if self.gains is None:
+        if not self.gains:
             return np.full(len(column), self.model.constant)
         raw, offsets = text_bytes(column)
         low, starts, ends, rows = folded_words(raw, offsets)
-        _, first, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
         text = low.tobytes()
         if len(self.known) > WORDS_KNOWN:
             self.known.clear()
-        found = np.array([self._gain(text[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)
-        return probability(features(found[back], rows, self.model.strong_from), self.model.weights)
+        if len(starts) and int((ends - starts).max()) > LONGEST:
+            sizes = -(-(ends - starts) // LONGEST)
+            rows = np.concatenate([[0], np.cumsum(sizes)])[rows]
+            first = np.repeat(starts, sizes) + LONGEST * (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            starts, ends = first, np.minimum(first + LONGEST, np.repeat(ends, sizes))
+        _, first, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        found = np.array([self._gain(text[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int32).reshape(-1, len(self.gains))[back]
+        x = np.zeros((len(column), len(self.model.weights) - 1))
+        for i in range(len(column)):
+            a, z = int(rows[i]), int(rows[i + 1])
+            for m, gains in enumerate(self.gains):
+                mine = found[a:z, m]
+                hot = (np.flatnonzero(mine > 0) + a).tolist()
+                near = [b" ".join(text[starts[k] : ends[k]] for k in range(max(h - 1, a), min(h + 2, z))) for h in hot]
+                x[i] += features(mine, gains.all(near))
+        return probability(x / len(self.gains), self.model.weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -258,8 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
+            for b in byte_slices(whole, 1):
                 yield pa.record_batch([b.column(0), pa.array(scorer.scores(b.column(1)), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -275,8 +310,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
+            for b in byte_slices(whole, at):
                 yield b.filter(pa.array(scorer.scores(b.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -315,6 +315,51 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(odd(spark), none).collect()} == {0.0}
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    """Gains, features and scores of every text, without the scorer's tables, slices and hashes."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choices(["the", "an", "tion", "er", "wh", "ing"], k=rng.randint(1, 3))) for _ in range(600)]
+    rows = [(" ".join(rng.choices(plain, k=60) + ["vileword"] * (3 * (i % 2))), i % 2) for i in range(90)]
+    model = toxicity.fit_rows(rows)
+    assert len(model.members) == toxicity.MEMBERS
+
+    def compressed(content, window):
+        import zstandard
+
+        data = zstandard.ZstdCompressionDict(content + toxicity.CARRIER * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=toxicity.LEVEL)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress(toxicity.CARRIER + b" " + window + b" " + toxicity.CARRIER))
+
+    def brute(text):
+        words = toxicity.windows([w.encode() for w in words_of(text)])
+        total = np.zeros(len(model.weights) - 1)
+        for ordinary, toxic in model.members:
+            blank = bytes(random.Random(len(toxic)).choices(b"\xf8\xf9\xfa\xfb\xfc\xfd\xfe\xff", k=len(toxic)))
+            gain = lambda w: compressed(blank + ordinary, w) - compressed(toxic + ordinary, w)  # noqa: B023, E731
+            g = [gain(w) for w in words]
+            near = [gain(b" ".join(words[max(i - 1, 0) : i + 2])) for i, x in enumerate(g) if x > 0]
+            top = sorted([*g, 0, 0])[::-1][:2]
+            strong = [sum(x >= t for x in g) for t in toxicity.STRONG]
+            n = max(len(g), 5)
+            total += [*(min(x, 12) for x in top), *(math.log1p(k) for k in strong), *(math.log1p(100 * k / n) for k in strong), math.log(n), min(max([0, *near]), 12), math.log1p(sum(x >= toxicity.STRONG[-1] for x in near))]
+        z = total / len(model.members) @ np.array(model.weights[:-1]) + model.weights[-1]
+        return 1 / (1 + math.exp(-z))
+
+    texts = [rows[0][0], rows[1][0], "Vileword, VILEWORD the", "x" * 150 + " vileword", "a\x1cb é漢 \n vileword", None, "", " \t"]
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i].score, brute(t), rel_tol=1e-6) and got[i].predicted == (got[i].score >= 0.5)
+
+
+def test_toxicity_windows_are_kept_by_other_folds_alone():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8)).encode()
+    common = [word() for _ in range(300)]
+    toxic = [[*rng.choices(common, k=20), b"vileword", word()] for _ in range(30)]  # a mark, and a word that no other row has
+    kept = toxicity.toxic_windows(toxic, b" ".join(common), common)
+    assert {w for fold in kept for w in fold} == {b"vileword"}
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     rng = random.Random(8)
     plain = ["".join(rng.choices(["the", "an", "tion", "er", "wh", "ing", "ble", "st"], k=rng.randint(1, 3))) for _ in range(1000)]
