@@ -34,6 +34,11 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_tasks(manifest: DataFrame) -> int:
+    """Tasks that read a manifest's files: one each, as far as some thousands; a number of its own is not coalesced by the manifest's few bytes."""
+    return max(1, min(manifest.count(), 4096))
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI or absolute path, and the path in it; works on executors, where there is no JVM gateway."""
     return pafs.FileSystem.from_uri(uri)

@@ -3,14 +3,14 @@
 1. Every document's set of distinct five-word shingles becomes a signature of COORDINATES minima. Documents with equal sets (count and 128-bit sum)
    form a class, which its smallest doc_id represents from then on: copies never meet each other again.
 2. Each representative is posted under its coordinate-value pairs; pairs that one representative alone has are dropped. Two sets that should link
-   agree in MATCHES coordinates or more (at a similarity of 0.75 all but a few in a million do; at higher ones fewer still miss), so a representative
-   with fewer postings left has no partner.
+   agree in matches coordinates or more (MATCHES by default: at a similarity of exactly 0.75 one pair in three million has fewer, at 0.8 one in 10^11),
+   so a representative with fewer postings left has no partner. matches=1 leaves out only what agrees in no coordinate.
 3. Large lists are contracted: in ROUNDS rounds, each representative meets one member of another component from each of its lists, the one with most
    collisions is tried on full sets, and links join components. Lists of near copies end as one component, whatever their length, by pairs in
    proportion to it.
 4. What is left is enumerated: with postings ordered by rarity, two representatives with MATCHES collisions share one in their prefixes, all but the
-   last MATCHES - 1. Prefix lists that lie in one component are done; those that others connect are a family, dealt by size (within a factor
-   of 4/3) to blocks of BLOCK. Block against block, collisions are counted across components, and pairs with MATCHES or more are confirmed on full sets;
+   last matches - 1. Prefix lists that lie in one component are done; those that others connect are a family, dealt by size (within a factor
+   of 4/3) to blocks of BLOCK. Block against block, collisions are counted across components, and pairs with matches or more are confirmed on full sets;
    only links leave a block. This work grows with the square of a family of documents that are nearly, but not quite, near copies of each other.
 
 Links that both their ends' component already implies are not sought: the components are what all links give.
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import cut, fits, folded_words, mix, text_bytes, word_hashes
+from quarry.llm.common import byte_slices, cut, fits, folded_words, mix, text_bytes, word_hashes
 from quarry.llm.components import components
 
-WORDS, COORDINATES, MATCHES = 5, 96, 54
+WORDS, COORDINATES, MATCHES = 5, 96, 50
 #: Contractions before what is left is enumerated.
 ROUNDS = 3
 #: A pair links if 100 * intersection >= PERCENT * union.
@@ -85,8 +85,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
+            for b in byte_slices(whole, 1):
                 made, offsets = shingles(b.column(1))
                 full, sig = signatures(made, offsets)
                 sums = np.zeros((2, b.num_rows), np.uint64)
@@ -108,8 +107,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
+            for b in byte_slices(whole, 1):
                 made, offsets = shingles(b.column(1))
                 yield pa.record_batch([b.column(0), pa.array([made[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["id", "set"])
 
@@ -136,11 +134,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(c, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long").distinct()
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose signatures collide MATCHES times or more, with the number n."""
+def _agreeing(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
+    """Those of pairs (u, v) whose signatures collide matches times or more, with the number n."""
     both = pairs.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v")
     n = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda t: t))
-    return both.select("u", "v", n.alias("n")).where(F.col("n") >= MATCHES)
+    return both.select("u", "v", n.alias("n")).where(F.col("n") >= matches)
 
 
 def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -162,7 +160,7 @@ def _pack(table: pa.Table) -> pa.Table:
 _PACKED = "family long, band long, block long, lo long, hi long, reps binary, comps binary, sizes binary, sigs binary, sets binary"
 
 
-def _block_links(x: list[bytes], y: list[bytes], same: bool) -> list[tuple[int, int]]:
+def _block_links(x: list[bytes], y: list[bytes], same: bool, matches: int) -> list[tuple[int, int]]:
     """The links between members of two packed blocks that lie in different components."""
     (rx, cx, nx, sx, tx), (ry, cy, ny, sy, ty) = ([*(np.frombuffer(v, np.int64) for v in z[:3]), np.frombuffer(z[3], np.int32).reshape(-1, COORDINATES), np.frombuffer(z[4], np.uint64)] for z in (x, y))
     open_ = (cx[:, None] != cy[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :]))
@@ -173,7 +171,7 @@ def _block_links(x: list[bytes], y: list[bytes], same: bool) -> list[tuple[int,
     n = np.zeros(open_.shape, np.uint16)
     for k in range(COORDINATES):
         n += sx[:, k][:, None] == sy[:, k][None, :]
-    pairs = np.argwhere(open_ & (n >= MATCHES))
+    pairs = np.argwhere(open_ & (n >= matches))
     ox, oy = np.concatenate([[0], np.cumsum(nx)]), np.concatenate([[0], np.cumsum(ny)])
     out = []
     for i in np.unique(pairs[:, 0]):
@@ -186,7 +184,7 @@ def _block_links(x: list[bytes], y: list[bytes], same: bool) -> list[tuple[int,
     return out
 
 
-def _blocked_links(open_lists: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocked_links(open_lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
     """Links across components among representatives that open lists (key, rep, comp, n_shingles, band) connect, block against block; pairs never become rows."""
     members = open_lists.select("rep", "comp", "n_shingles", "band").distinct()
     least = open_lists.groupBy("key").agg(F.min("rep").alias("v"))
@@ -208,14 +206,14 @@ def _blocked_links(open_lists: DataFrame, sigs: DataFrame, sets: DataFrame) -> D
         for b in batches:
             for i in range(b.num_rows):
                 row = [b.column(k)[i].as_py() for k in range(b.num_columns)]
-                found = _block_links(row[1:6], row[6:], row[0])
+                found = _block_links(row[1:6], row[6:], row[0], matches)
                 yield pa.record_batch([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], names=["u", "v"])
 
     return met.mapInArrow(run, "u long, v long").distinct()
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id and kept."""
+def link(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id and kept. matches: the coordinates in which two documents have to agree to be compared."""
     spark = docs.sparkSession
     sketched = cut(sketch(docs), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
@@ -227,7 +225,7 @@ def link(docs: DataFrame) -> DataFrame:
     posted = reps.select("rep", "n_shingles", F.posexplode("signature").alias("k", "value")).select("rep", "n_shingles", key.alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     postings = cut(posted.join(shared, "key").select("key", "rep", "n_shingles", "c"), "postings")
-    active = cut(postings.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= MATCHES), "active")
+    active = cut(postings.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= matches), "active")
     postings = cut(postings.join(active, "rep").select("key", "rep", "n_shingles", "c", "m"), "active-postings")
     sets = _sets(docs, active.select("rep"))
 
@@ -240,18 +238,18 @@ def link(docs: DataFrame) -> DataFrame:
         ends = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by("comp", "by").alias("lo"), F.min_by("rep", "by").alias("a"), F.max_by("rep", "by").alias("z")).where("least < most")
         met = labelled.join(ends.select("key", "lo", "a", "z"), "key").select(F.col("rep").alias("u"), F.when(F.col("comp") == F.col("lo"), F.col("z")).otherwise(F.col("a")).alias("v")).where("u <> v").distinct()
         closest = Window.partitionBy("u").orderBy(F.desc("n"), "v")
-        tried = _agreeing(met, sigs).withColumn("place", F.row_number().over(closest)).where("place = 1").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        tried = _agreeing(met, sigs, matches).withColumn("place", F.row_number().over(closest)).where("place = 1").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         found = cut(_confirmed(tried, sets), "links")
         if not found.limit(1).count():
             break
         edges = edges.union(found)
         joined = components(edges)
 
-    prefixes = postings.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("c", "key"))).where(F.col("place") <= F.col("m") - MATCHES + 1)
+    prefixes = postings.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("c", "key"))).where(F.col("place") <= F.col("m") - matches + 1)
     labelled = cut(_labelled(prefixes, joined).select("key", "rep", "comp", "n_shingles", F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).alias("band")), "prefixes")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_lists = cut(labelled.join(mixed, "key"), "open-lists")
-    edges = cut(edges.union(_blocked_links(open_lists, sigs, sets)), "links")
+    edges = cut(edges.union(_blocked_links(open_lists, sigs, sets, matches)), "links")
     # rows of one doc_id with different texts are one document
     own = classes.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     doubled = classes.join(own.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +23,10 @@ from pyspark.sql.window import Window
 from quarry.llm.common import shared_dir
 
 
+#: Copies of a blob's findings that its rows are dealt to.
+PARTS = 16
+
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: matches of pattern whose group has at least so many code points. A changed rule takes a new version."""
@@ -82,10 +85,11 @@ class BlobLedger:
         self.spark, self.path = spark, path or shared_dir(spark, "secret-ledger")
 
     def _read(self, name: str, schema: str) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:  # nothing was ever written
+        """A table of the ledger; None if it was never written."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return None
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def findings(self) -> DataFrame:
         found = self._read("findings", self.FINDINGS)
@@ -117,15 +121,21 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, .
     """Per row of docs: doc_id, a count per rule of BASE, and spans, an array of (start, ordinal, kind, end, base) in order; null where nothing was found."""
     ledger = ledger or BlobLedger(docs.sparkSession)
     paths = ledger.update(docs, rules)
-    return paths.join(_per_blob(ledger, rules), "blob", "left").select("doc_id", "spans")
+    dealt = paths.withColumn("part", _part(F.col("doc_id")))
+    return dealt.join(_per_blob(ledger, rules), ["blob", "part"], "left").select("doc_id", "spans")
+
+
+def _part(doc_id: Column) -> Column:
+    """Which copy of a blob's findings a row is joined to: a blob that many rows share is then many tasks' work."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(PARTS)).cast("int")
 
 
 def _per_blob(ledger: BlobLedger, rules: tuple[Rule, ...]) -> DataFrame:
-    """Of every blob with findings: blob and spans."""
+    """Of every blob with findings PARTS copies: blob, part and spans."""
     current = [r.key for r in rules]
     kind = F.split("rule", "@")[0].alias("kind")
     found = ledger.findings().where(F.col("rule").isin(current)).select("blob", F.struct("start", "ordinal", kind, "end", (F.col("ordinal") < len(BASE)).alias("base")).alias("span"))
-    return found.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # bounded by one text
+    return found.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("spans")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))  # an array is bounded by one text
 
 
 def _joined(spans: Column) -> Column:
@@ -147,8 +157,8 @@ def redact(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule,
     secret = docs["text"]
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.update(docs, rules)
-    flagged = _per_blob(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.join(flagged, blob(F.coalesce(secret, F.lit(""))) == flagged["_blob"], "left")
+    flagged = _per_blob(ledger, rules).select(F.col("blob").alias("_blob"), F.col("part").alias("_part"), F.col("spans").alias("_spans"))
+    joined = docs.join(flagged, (blob(F.coalesce(secret, F.lit(""))) == flagged["_blob"]) & (_part(docs["doc_id"]) == flagged["_part"]), "left")
     # spans that overlap count as one, named after the first; the text is put together from the ends of one to the starts of the next
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     folded = F.aggregate(

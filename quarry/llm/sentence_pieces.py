@@ -2,9 +2,9 @@
 
 At each position the automaton's output links list the pieces that end there; each relaxes the best score of the position from the one where it
 begins. In a unigram model every such arc is open and the best sum of scores wins. A BPE model's result is not the best sum of its scores, but its
-arcs can be told locally: a piece t may follow u just if the merges, run on u + t alone, leave the two. A sequence whose neighbours all pass is the
-whole text's result, and each prefix has one such sequence (merges inside a prefix don't depend on what follows), so the same pass with only those
-arcs open gives exactly the library's ids. Which pairs pass is found by running the merges on the pair once, and remembered.
+arcs can be told locally: a piece t may follow u just if the merges, run on u + t alone, leave the two. An arc that fails this scores minus infinity.
+A sequence whose neighbours all pass is the whole text's result, and each prefix has one such sequence (merges inside a prefix don't depend on what
+follows), so the same relaxation gives exactly the library's ids. Which pairs pass is found by running the merges on the pair once, and remembered.
 
 Where no piece has a space mark after another character, texts fall apart at space marks, and each part is encoded once and remembered in a table
 of bounded size.
@@ -27,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import SLICE_BYTES, byte_slices
+
 #: The space mark, and of the model file the field numbers and codes that are read.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: The score of an arc that may not be taken.
+CLOSED = float("-inf")
 #: Entries remembered by a Python worker, and the longest part that is remembered.
 TABLE_ENTRIES, TABLE_CHARS, PAIR_ENTRIES = 600_000, 48, 1_000_000
 
@@ -122,25 +126,32 @@ class PieceModel:
         return known
 
     def _bpe(self, text: str) -> list[str]:
-        last = [""] + [None] * len(text)  # the piece that ends the result of each prefix
-        done = 0
-        pairs = self.pairs
+        n = len(text)
+        best, last = [0.0] + [CLOSED] * n, [""] + [None] * n  # of each prefix the best score, and the piece that ends it
+        done, pairs, scores, worst = 0, self.pairs, self.scores, self.worst
+
+        def alone(j: int) -> None:
+            if best[j] == CLOSED:  # no arc into here is open: the character stands alone
+                best[j], last[j] = best[j - 1] + worst, text[j - 1]
+
         for end, t in self.automaton.iter(text):
-            while done < end:  # no piece may end there: the character stands alone
+            while done < end:
                 done += 1
-                if last[done] is None:
-                    last[done] = text[done - 1]
-            if last[end + 1] is None:
-                u = last[end + 1 - len(t)]
-                known = pairs.get((u, t))
-                if known or known is None and self._open(u, t):
-                    last[end + 1] = t
+                alone(done)
+            j = end + 1
+            start = j - len(t)
+            u = last[start]
+            known = pairs.get((u, t))
+            value = best[start] + scores[t] if known or known is None and self._open(u, t) else CLOSED
+            if value > best[j]:
+                best[j], last[j] = value, t
+        while done < n:
+            done += 1
+            alone(done)
         out = []
-        i = len(text)
-        while i:
-            piece = last[i] or text[i - 1]
-            out.append(piece)
-            i -= len(piece)
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
         return out[::-1]
 
     def _unigram(self, text: str) -> list[str]:
@@ -229,8 +240,7 @@ def encode(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
+            for b in byte_slices(whole, whole.num_columns - 1, 2 * SLICE_BYTES):
                 texts = b.column(b.num_columns - 1).to_pylist()
                 raw = [m.encode(t) for t in texts]
                 ids = [np.frombuffer(x, m.dtype).astype("<u4") for x in raw]

@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.chunk_encoding import encoder
+from quarry.llm.common import SLICE_BYTES
 
 RULES = ("start", "end", "majority")
 COUNTS = "n_tokens long, n_sections long, n_crossing long, section_tokens array<long>"
@@ -58,6 +60,19 @@ def line_starts(text: str) -> np.ndarray:
     return np.concatenate([[0], marks[marks < len(text)]])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices by the bytes of its last column, an array of texts."""
+    parts = batch.column(batch.num_columns - 1)
+    bytes_ = np.concatenate([[0], np.cumsum(pc.binary_length(parts.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = bytes_[np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]
+    i = 0
+    while i < batch.num_rows:
+        before = int(ends[i - 1]) if i else 0
+        j = min(max(i + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))), i + 2000)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def count_tokens(df: DataFrame, tokenizer: str, keys: list[str], text: str | Column | None = None, fields: list[str] | None = None, rule: str = "majority") -> DataFrame:
     """keys with COUNTS. Either the sections are the lines of one text, or the fields, joined by line feeds that belong to the field before (null: empty)."""
     if rule not in RULES or (text is None) == (fields is None):
@@ -70,8 +85,7 @@ def count_tokens(df: DataFrame, tokenizer: str, keys: list[str], text: str | Col
         enc = encoder(tokenizer)
         lengths = enc.byte_lengths()
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
+            for b in _slices(whole):
                 parts = b.column(b.num_columns - 1).to_pylist()
                 texts = ["\n".join(p) for p in parts]
                 out: list[tuple] = []

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.llm.chunk_encoding import encoder
-from quarry.llm.common import cut, file_system, shared_dir
+from quarry.llm.common import SLICE_BYTES, byte_slices, cut, file_system, read_tasks, shared_dir
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 512
 MANIFEST = T.StructType([T.StructField(n, T.StringType() if n == "uri" else T.LongType()) for n in ("first_id", "uri", "n_docs", "n_tokens")])
@@ -88,11 +88,12 @@ class TokenShard:
         self.files = [pa.ipc.open_file(pa.memory_map(p) if local else fs.open_input_file(p)) for p in (f"{path}.seq.arrow", f"{path}.doc.arrow")]
         self.length = self.files[0].schema.field("ids").type.list_size
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of sequence i."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask of sequence i, both views: the mask stays Arrow's bits, which numpy could only copy."""
         batch = self.files[0].get_batch(i // BATCH_SEQUENCES)
         k = (i % BATCH_SEQUENCES) * self.length
-        return tuple(batch.column(c).flatten().slice(k, self.length).to_numpy(zero_copy_only=c == 0) for c in (0, 1))
+        ids, mask = (batch.column(c).flatten().slice(k, self.length) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def tokens(self) -> Iterator[np.ndarray]:
         """The ids of each batch without padding."""
@@ -118,11 +119,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, length: int = SEQ
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_pylist()
             if out is None:
-                out, first = ShardWriter(uri, enc.dtype, length), ids[0]
-            for i in range(0, len(ids), 500):
-                out.add(ids[i : i + 500], [x + end for x in enc.encode(b.column(1).slice(i, 500).to_pylist())])
+                out, first = ShardWriter(uri, enc.dtype, length), b.column(0)[0].as_py()
+            for part in byte_slices(b, 1, 4 * SLICE_BYTES):
+                out.add(part.column(0).to_pylist(), [x + end for x in enc.encode(part.column(1).to_pylist())])
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pylist([{"first_id": first, "uri": uri, "n_docs": out.n_docs, "n_tokens": out.n_tokens}], schema=pa.schema([("first_id", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
@@ -156,4 +156,4 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 starts = start + np.cumsum([0, *counts[:-1]], dtype=np.int64)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("uri", "start").repartition("uri").mapInArrow(read, COUNTED)
+    return placed.select("uri", "start").repartition(read_tasks(manifest), "uri").mapInArrow(read, COUNTED)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, file_system, shared_dir
+from quarry.llm.common import byte_slices, cut, file_system, read_tasks, shared_dir
 
 REVISIT_BYTES, ROLL_BYTES = 1000, 256 << 20
 #: Names of the header lines' fields by version, and of WARC's revisit profile.
@@ -209,8 +209,8 @@ def write_archives(pages: DataFrame, date: str = "19960101000000") -> DataFrame:
             done.append({"uri": archive.uri, "n_records": archive.records})
 
         for b in batches:
-            for n in range(0, b.num_rows, 50):
-                part = b.slice(n, 50).to_pylist()
+            for n in byte_slices(b, 2, most=50):
+                part = n.to_pylist()
                 for version in (1, 2):
                     mine = [r for r in part if (r["page_id"] or 0) % 2 == version - 1]
                     if not mine:
@@ -272,7 +272,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             out = []
                 yield _batch(out)
 
-    return manifest.select("uri").repartition("uri").mapInArrow(read, PAGE_ROWS)
+    return manifest.select("uri").repartition(read_tasks(manifest), "uri").mapInArrow(read, PAGE_ROWS)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
