@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import byte_slices, cut, folded_words, mix, text_bytes, word_hashes
 
 #: Labelled rows of each class that a fit takes at most, by ascending hash of doc_id; their texts are read whole.
-SAMPLE_ROWS = 4000
-MEMBERS, FOLDS = 3, 3
+SAMPLE_ROWS = 2000
+MEMBERS, FOLDS = 5, 3
 #: Bytes of the ordinary dictionary, and of what is trained on toxic windows in each round.
-ORDINARY, TOXIC_ROUNDS = 192 << 10, (64 << 10, 32 << 10, 32 << 10)
+ORDINARY, TOXIC_ROUNDS = 128 << 10, (64 << 10, 32 << 10, 32 << 10)
 #: The share of the control's windows that a toxic row's window has to surpass, and windows of that control.
-SURPASSED, CONTROL = 0.98, 60_000
-LEVEL, SEGMENT, RUN = 6, 12, 6
+SURPASSED, CONTROL = 0.98, 40_000
+LEVEL, MATCH, SEGMENT, RUN = 6, 5, 16, 6
 #: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
 CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
 #: Bytes of the longest word in a window, words of an ordinary window that is trained on, and words that a Python worker remembers.
@@ -65,6 +65,7 @@ class Gains:
         # bytes that no UTF-8 text holds keep the ordinary dictionary as long, so that both index the common content alike
         blank = random.Random(len(toxic)).choices(b"\xf8\xf9\xfa\xfb\xfc\xfd\xfe\xff", k=len(toxic))
         self.pair = [self._packer(content + ordinary) for content in (toxic, bytes(blank))]
+        self.runs = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
 
     @staticmethod
     def _packer(content: bytes):
@@ -73,6 +74,10 @@ class Gains:
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def of(self, window: bytes) -> int:
+        """A window that shares no run of MATCH bytes, the least that the compressor copies, with the toxic content gains nothing by it."""
+        spaced = b" %b " % window
+        if self.runs.isdisjoint([spaced[i : i + MATCH] for i in range(len(spaced) - MATCH + 1)]):
+            return 0
         framed = b"%b %b %b" % (CARRIER, window, CARRIER)
         toxic, ordinary = self.pair
         return len(ordinary(framed)) - len(toxic(framed))
