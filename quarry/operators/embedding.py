@@ -11,6 +11,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice, takewhile
 from typing import Protocol
 
 import pandas as pd
@@ -150,8 +151,10 @@ class RetryingEmbedder:
         return self.embed([text], QUERY)[0]
 
 
-def embedding_cache(stored: DataFrame, by_model: bool = True) -> DataFrame:
-    """Of stored chunks one vector per content (and model): that of the smallest chunk_id."""
+def embedding_cache(stored: DataFrame, by_model: bool = True, wanted: DataFrame | None = None) -> DataFrame:
+    """Of stored chunks one vector per content (and model): that of the smallest chunk_id. wanted (content_hash) keeps all other vectors out of the shuffle."""
+    if wanted is not None:
+        stored = stored.join(wanted.select("content_hash").distinct(), "content_hash", "left_semi")
     keys = ["content_hash", "embedding_model"] if by_model else ["content_hash"]
     return stored.groupBy(*keys).agg(F.min_by("embedding", "chunk_id").alias("embedding"))
 
@@ -177,11 +180,13 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None
         client = RetryingEmbedder(embedder, max_retries)
         for pdf in parts:
             texts = pdf.pop("_text").tolist()
-            batch = list(greedy((len(t.encode()) // 4 for t in texts), max_tokens, min(client.batch_max, max_items)))
+            sizes = [len(t.encode()) // 4 for t in texts]
             vectors: list = []
             errors: list = []
-            for b in dict.fromkeys(batch):
-                mine = [t for t, x in zip(texts, batch, strict=True) if x == b]
+            while len(vectors) < len(texts):  # a batch at a time: the client may have halved its limit since the last
+                at = len(vectors)
+                batch = takewhile(lambda b: b == 0, greedy(islice(sizes, at, None), max_tokens, min(client.batch_max, max_items)))
+                mine = texts[at : at + max(1, sum(1 for _ in batch))]
                 try:
                     vectors += client.embed(mine, DOCUMENT)
                     errors += [None] * len(mine)

@@ -39,6 +39,10 @@ def retained(jobs: DataFrame, most: int, job: str = "job_id") -> DataFrame:
     return active.unionByName(newest)
 
 
+class JobCancelled(Exception):
+    """A job that was cancelled between two of its actions."""
+
+
 @dataclass
 class Job:
     job_id: str
@@ -55,6 +59,13 @@ class Job:
             raise ValueError(f"no job stage {stage!r}")
         self.stage = stage
 
+    def advance(self, stage: str) -> None:
+        """Go on to a stage; a cancelled job stays cancelled."""
+        if self.cancelled:
+            self.set_stage("cancelled")
+            raise JobCancelled(self.job_id)
+        self.set_stage(stage)
+
     def add_error(self, message: str) -> None:
         self.errors.append(message)
 
@@ -62,6 +73,11 @@ class Job:
     def active(self) -> bool:
         return self.stage not in TERMINAL
 
+    def line(self) -> str:
+        """One line for people: name, stage and how far it is."""
+        c = self.counters
+        return f"{self.repo_name} [{self.stage.capitalize()}] - D:{c['discovered']} P:{c['parsed']} E:{c['embedded']} I:{c['indexed']}"
+
     def status(self) -> dict:
         return {"job_id": self.job_id, "repo_root": self.repo_root, "repo_name": self.repo_name, "started_at": self.started_at, "stage": self.stage, "counters": dict(self.counters), "recent_errors": self.errors[::-1][:ERRORS_SHOWN]}
 

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quarry.functions.text import query_terms
 
 DEFAULT_LIMIT, MOST_CANDIDATES = 10, 100
+#: Queries that are multiplied with a block of chunks at once.
+QUERY_BLOCK = 2048
 #: Fixed values of the rerank: an equal symbol name, a name that contains the query, path words, documentation words, the language asked for.
 EXACT, CONTAINED, PATH_WORDS, DOC_WORDS, LANGUAGE = 0.15, 0.08, 0.05, 0.03, 0.02
 
@@ -24,7 +32,7 @@ class SearchRequest:
     symbol_kind: str | None = None
     repo: str | None = None
     limit: int | None = None
-    path_match: str = "prefix"
+    path_match: str | None = None
 
     @property
     def wanted(self) -> int:
@@ -95,10 +103,45 @@ def search(chunks: DataFrame, vector: list[float], request: SearchRequest) -> Da
     return best.select(F.col("adjusted").cast("float").alias("score"), *kept, "signature", "doc_comment", F.coalesce("chunk_text", F.lit("")).alias("snippet"), "total_candidates")
 
 
+def _unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of unit length in double precision; 0 where one is missing, zero, not finite or of another length."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    fit = np.flatnonzero(lengths == dim)
+    x = np.zeros((len(column), dim))
+    if len(fit):
+        x[fit] = pc.list_flatten(column.take(pa.array(fit))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x[~np.isfinite(x).all(axis=1)] = 0
+    norms = np.linalg.norm(x, axis=1)
+    return x / np.where(norms > 0, norms, 1)[:, None]
+
+
 def batch_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Of each query (query_id, vector) the k nearest chunks: query_id, rank, chunk_id, score. Each query is a stated one, held against all chunks;
-    a partition's best k of each query are found before anything is shuffled."""
-    scored = chunks.select("chunk_id", "embedding").crossJoin(queries.select("query_id", "vector")).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
+    """Of each query (query_id, vector) the k nearest chunks: query_id, rank, chunk_id, score. The queries are a stated set, taken in blocks of QUERY_BLOCK;
+    a block of chunks is multiplied with a block of queries, and only the best k of each query leave it."""
+    types = {f.name: f.dataType.simpleString() for f in [*queries.select("query_id").schema, *chunks.select("chunk_id").schema]}
+    schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double"
+    asked = [(r.query_id, r.vector) for r in queries.select("query_id", "vector").toLocalIterator()]
+    parts = []
+    for i in range(0, max(len(asked), 1), QUERY_BLOCK):
+        block = asked[i : i + QUERY_BLOCK]
+        ids = [q for q, _ in block]
+        dim = max((len(v) for _, v in block if v is not None), default=1)
+        unit = _unit_rows(pa.array([v for _, v in block], pa.list_(pa.float64())), dim)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, unit=unit, dim=dim) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                top = min(k, b.num_rows)
+                if not top or not ids:
+                    continue
+                score = np.round(unit @ _unit_rows(b.column(1), dim).T, 12)
+                # every row as good as the k-th stays, so that ties are broken by id and not by place
+                least = np.partition(score, -top, axis=1)[:, -top]
+                q, c = np.nonzero(score >= least[:, None])
+                yield pa.record_batch([pa.array([ids[x] for x in q.tolist()], run_types[0]), b.column(0).take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "chunk_id", "score"])
+
+        run_types = [to_arrow_type(queries.schema["query_id"].dataType)]
+        parts.append(chunks.select("chunk_id", "embedding").mapInArrow(run, schema))
+    scored = reduce(DataFrame.unionByName, parts)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +29,13 @@ def last_wins(new: DataFrame, key: str = "chunk_id", order: str = "indexed_at")
     return new.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def unit(vector: str):
+    """The vector at unit length, as stores for cosine similarity keep it; a zero or missing one as it is."""
+    v = F.col(vector)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
+
+
 def without_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.join(paths.select("path"), "path", "left_anti")
 
@@ -76,10 +82,10 @@ class ChunkStore:
 
     def chunks(self, repo: str) -> DataFrame:
         """The rows of a repository's collection; only its folder is read."""
-        try:
-            return self.spark.read.schema(f"{STORED}, bucket int").option("basePath", f"{self.base}/collection={self.collection(repo)}").parquet(f"{self.base}/collection={self.collection(repo)}")
-        except AnalysisException:
+        path = f"{self.base}/collection={self.collection(repo)}"
+        if not self._exists(path):
             return self.spark.createDataFrame([], f"{STORED}, bucket int")
+        return self.spark.read.schema(f"{STORED}, bucket int").option("basePath", path).parquet(path)
 
     def _bucket(self):
         return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
@@ -93,14 +99,17 @@ class ChunkStore:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for b in touched:
             old, new = path(f"{target}/bucket={b}"), path(f"{staging}/bucket={b}")
-            fs.delete(old, True)
+            # the old bucket only steps aside until the new one is in place: a driver that is lost in between loses no row
+            if fs.exists(old):
+                fs.mkdirs(path(f"{staging}/old"))
+                fs.rename(old, path(f"{staging}/old/bucket={b}"))
             if fs.exists(new):
                 fs.rename(new, old)
         fs.delete(path(staging), True)
 
     def upsert(self, repo: str, rows: DataFrame) -> None:
         """Put rows (STORED) in; rows with stored keys replace them, and of equal keys in the batch the last wins."""
-        new = last_wins(rows).withColumn("bucket", self._bucket())
+        new = last_wins(rows).withColumn("embedding", unit("embedding")).withColumn("bucket", self._bucket())
         touched = [r[0] for r in new.select("bucket").distinct().collect()]
         if touched:
             old = self.chunks(repo).where(F.col("bucket").isin(touched))

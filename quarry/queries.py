@@ -41,8 +41,8 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = docs.join(vectors, docs.doc_id == vectors.vec_id)
     return joined.select(
         F.format_string("%012d", "doc_id").alias("chunk_id"), F.col("source").alias("repo"), F.concat_ws("/", "source", "lang").alias("path"), F.col("lang").alias("language"),
-        F.substring("text", 1, 12).alias("symbol_name"), F.when(F.col("label") % 2 == 0, "function").otherwise("struct").alias("symbol_kind"), F.concat_ws("::", "source", F.substring("text", 1, 40)).alias("symbol_path"),
-        F.lit(1).alias("line_start"), F.col("n_chars").cast("int").alias("line_end"), F.lit(None).cast("string").alias("signature"), F.when(F.col("label") < 5, F.substring("text", 50, 200)).alias("doc_comment"), F.substring("text", 1, 80).alias("chunk_text"), "embedding",
+        F.col("source").alias("symbol_name"), F.when(F.col("label") % 2 == 0, "function").otherwise("struct").alias("symbol_kind"), F.concat_ws("::", "source", "lang").alias("symbol_path"),
+        F.lit(1).alias("line_start"), F.col("n_chars").cast("int").alias("line_end"), F.lit(None).cast("string").alias("signature"), F.when(F.col("label") < 5, F.col("text")).alias("doc_comment"), F.col("text").alias("chunk_text"), "embedding",
     )
 
 
@@ -64,8 +64,8 @@ def vector_topk_filtered(spark, sf_dir):
     return kept.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", "label", F.round("s", 6).alias("score"))
 
 
-_CHUNKS = """(select printf('%012d', doc_id) as chunk_id, source as repo, source || '/' || lang as path, lang as language, substr("text", 1, 12) as symbol_name, source || '::' || substr("text", 1, 40) as symbol_path,
-    case when label < 5 then substr("text", 50, 200) end as doc_comment, substr("text", 1, 80) as snippet, embedding from documents join embeddings on doc_id = vec_id)"""
+_CHUNKS = """(select printf('%012d', doc_id) as chunk_id, source as repo, source || '/' || lang as path, lang as language, source as symbol_name, source || '::' || lang as symbol_path,
+    case when label < 5 then "text" end as doc_comment, "text" as snippet, embedding from documents join embeddings on doc_id = vec_id)"""
 _WORDS = "list_filter(string_split_regex(lower('The of then'), '\\s+'), lambda w: w <> '')"
 
 
@@ -106,10 +106,10 @@ def symbol_boost(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", search.boost(F.lit("SRC1"), F.col("source"), F.lit(""), none).alias("boost"))
 
 
-@query(f"select doc_id, round({_ratio('substr(\"text\", 1, 100)')} * 0.05 + {_ratio('\"text\"')} * 0.03, 6) as boost from documents")
+@query(f"select doc_id, round({_ratio('source')} * 0.05 + {_ratio('\"text\"')} * 0.03, 6) as boost from documents")
 def term_ratio_boost(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.round(search.boost(F.lit("The of then"), F.lit(""), F.substring("text", 1, 100), F.col("text")), 6).alias("boost"))
+    return docs.select("doc_id", F.round(search.boost(F.lit("The of then"), F.lit(""), F.col("source"), F.col("text")), 6).alias("boost"))
 
 
 @query('select doc_id, sha256("text") as content_hash from documents')

@@ -20,6 +20,11 @@ def ingest_stream(files: DataFrame, repo: str, store: ChunkStore, embedder: Embe
     def put(batch: DataFrame, _: int) -> None:
         made = embed_chunks(chunk_files(batch, repo).where("error is null").drop("error"), embedder).where("error is null")
         key = chunk_id("repo", "path", "symbol_path", "byte_start", "byte_end", "content_hash")
-        store.upsert(repo, made.withColumn("chunk_id", key).withColumn("indexed_at", rfc3339(F.current_timestamp())).select(*[c.split()[0] for c in STORED.split(", ")]))
+        rows = made.withColumn("chunk_id", key).withColumn("indexed_at", rfc3339(F.current_timestamp())).select(*[c.split()[0] for c in STORED.split(", ")])
+        rows.persist()  # a put reads them several times, and a chunk is embedded once
+        try:
+            store.upsert(repo, rows)
+        finally:
+            rows.unpersist()
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

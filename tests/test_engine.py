@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from quarry.operators.batching import assign_batches, greedy
 from quarry.operators.embedding import BREAKER_PAUSE, EmbeddingError, HashEmbedder, HttpEmbedder, HttpError, RetryingEmbedder, embed_chunks
 from quarry.operators.jobs import Job, JobRegistry
-from quarry.operators.search import SearchRequest, cosine, search
+from quarry.operators.search import SearchRequest, batch_search, cosine, search
 from quarry.plans.commands import Command, CommandError, parse_command
 from quarry.plans.config import Config
 from quarry.plans.engine import Engine, IndexError_
+from quarry.plans.shell import Shell
 from quarry.schema import FILES, STORED
 from quarry.sources.repo_files import repo_files
 from quarry.streaming.ingest import ingest_stream
@@ -70,6 +71,82 @@ def test_index_search_refresh(spark, tree, tmp_path):
         engine.index(str(tree / "missing"))
 
 
+def test_cancelled_between_actions_stays_cancelled(spark, tree, tmp_path, monkeypatch):
+    engine = Engine(spark, Config(store_path=str(tmp_path / "store"), embedding_dimensions=8))
+    job = Job("j", str(tree), "my_repo")
+    monkeypatch.setattr(engine, "_note_errors", lambda j, rows: engine.registry.cancel("j"))
+    assert engine.index(str(tree), job=job).stage == "cancelled" and engine.store.chunks("my_repo").count() == 0
+
+
+def test_put_is_tried_again(spark, tree, tmp_path, monkeypatch):
+    engine = Engine(spark, Config(store_path=str(tmp_path / "store"), embedding_dimensions=8, max_retries=2))
+    put, calls = engine.store.upsert, []
+    engine.sleep = calls.append
+
+    def failing(repo, rows):
+        if len(calls) < 2:
+            raise OSError("down")
+        put(repo, rows)
+
+    monkeypatch.setattr(engine.store, "upsert", failing)
+    job = engine.index(str(tree))
+    assert job.stage == "completed" and calls == [1.0, 2.0] and job.counters["indexed"] == 6
+    monkeypatch.setattr(engine.store, "upsert", lambda repo, rows: 1 / 0)
+    job = Job("k", str(tree), "my_repo")
+    with pytest.raises(ZeroDivisionError):
+        engine.index(str(tree), job=job)
+    assert job.stage == "failed" and job.counters["failed"] >= 6
+
+
+def test_shell(spark, tree, tmp_path):
+    engine = Engine(spark, Config(store_path=str(tmp_path / "store"), embedding_dimensions=8, embedding_url="http://x"))
+    shell = Shell(engine)
+    assert shell.run(f"/index {tree}").startswith("indexing") and "error" in shell.run("/index /no/such/place") and "error" in shell.run("/nothing")
+    shell.threads[0].join()
+    assert shell.status()[0].startswith("my_repo [Completed] - D:8 ") and "quarry_my_repo" in shell.run("/refresh")
+    found = json.loads(engine.search_json(SearchRequest("app", repo="my_repo", path_prefix="app.p")))
+    engine.config.path_match = "exact"
+    assert found["total_candidates"] == 1 and json.loads(engine.search_json(SearchRequest("app", repo="my_repo", path_prefix="app.p")))["total_candidates"] == 0
+    assert [shell.run("/model ollama"), shell.run("/model"), shell.run("/model")] == ["model ollama", "model gemini", "model ollama"]
+    assert isinstance(engine.embedder, HttpEmbedder) and engine.embedder.kind == "simple"
+    assert "error" in shell.run("/confirm") and "confirm" in shell.run("/delete my_repo") and shell.run("no") == "not deleted"
+    shell.run("/delete quarry_my_repo")
+    assert shell.run("yes") == "deleted quarry_my_repo" and "index" in shell.run("?") and shell.run("/clear") == "" and shell.run("q") == "bye" and shell.done
+    assert [x.partition(" ")[2] for x in shell.tail(1)] == ["bye"]
+
+
+def test_names_of_models_reach_an_embedder():
+    from quarry.plans.commands import MODELS
+    from quarry.plans.engine import EMBEDDERS, embedder_of
+
+    assert set(MODELS) <= set(EMBEDDERS)
+    for name in EMBEDDERS:
+        assert embedder_of(Config(active_embedder=name, embedding_url="http://x")).start_batch > 0
+    for config in (Config(active_embedder="other"), Config(active_embedder="gemini")):
+        with pytest.raises(ValueError):
+            embedder_of(config)
+
+
+def test_batch_search_equals_single_ones(spark, monkeypatch):
+    monkeypatch.setattr("quarry.operators.search.QUERY_BLOCK", 3)
+    rows = [(f"c{i:02}", [float((i * 7) % 5), float(i % 3), 1.0]) for i in range(30)] + [("x", None), ("y", [0.0, 0.0, 0.0]), ("z", [1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    queries = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(7)], "query_id long, vector array<float>")
+    got = {(r.query_id, r.rank): r.chunk_id for r in batch_search(chunks, queries, 4).collect()}
+    for i in range(7):
+        q = F.array(*[F.lit(x) for x in (1.0, float(i), 0.5)])
+        best = chunks.where("chunk_id <> 'z'").select("chunk_id", F.round(cosine(F.col("embedding"), q), 12).alias("s")).orderBy(F.desc("s"), "chunk_id").limit(4).collect()
+        assert [got[i, n + 1] for n in range(4)] == [r.chunk_id for r in best]
+    assert batch_search(chunks, queries.limit(0), 4).count() == 0 and "CartesianProduct" not in batch_search(chunks, queries, 4)._jdf.queryExecution().toString()
+
+
+def test_stored_vectors_have_unit_length(spark):
+    from quarry.operators.store import unit
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>")
+    assert [r[0] and [round(x, 6) for x in r[0]] for r in df.select(unit("v")).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
 def test_rerank_formula(spark):
     chunks = spark.createDataFrame(
         [("a", "other", "x::other", None, [1.0, 0.0]), ("b", "Find", "m::find me", "find docs", [0.9, 0.1]), ("c", "finder", "m", None, [0.0, 0.0]), ("d", "z", "z", None, [1.0, 0.0])],
