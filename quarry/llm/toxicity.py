@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import byte_slices, cut, folded_words, mix, text_bytes, word_hashes
 
 #: Labelled rows of each class that a fit takes at most, by ascending hash of doc_id; their texts are read whole.
-SAMPLE_ROWS = 2000
-MEMBERS, FOLDS = 5, 3
+SAMPLE_ROWS = 4000
+MEMBERS, FOLDS = 3, 3
 #: Bytes of the ordinary dictionary, and of what is trained on toxic windows in each round.
 ORDINARY, TOXIC_ROUNDS = 128 << 10, (64 << 10, 32 << 10, 32 << 10)
 #: The share of the control's windows that a toxic row's window has to surpass, and windows of that control.
-SURPASSED, CONTROL = 0.98, 40_000
+SURPASSED, CONTROL = 0.98, 60_000
 LEVEL, MATCH, SEGMENT, RUN = 6, 5, 16, 6
 #: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
 CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
