@@ -7,7 +7,8 @@ and those that gain more than all but a share of an ordinary control's windows a
 its own text was learnt never counts. A logistic curve over the cross-fitted gains of whole rows calibrates, and 0.5 is its threshold.
 
 Score: every window of every whole text. Windows are the words, between two fixed carriers that both dictionaries hold, and, about each word that
-gains anything, the three words around it. A word's gain depends on the word alone, so each distinct word is compressed once.
+gains anything, the three words around it. A word's gain depends on the word alone, so each distinct word is compressed once, and only if it holds a
+run of bytes that the toxic content has and the ordinary one lacks: without one the best parse by either dictionary is the same.
 
 Defined cases: null or empty texts have no window and take the curve's value at no gain; a null doc_id is held out of nothing and scored; rows
 without a label, with a null label or a null text teach nothing; repeated rows count once in the fit and each yields a row; an empty or one-class
@@ -39,7 +40,7 @@ SURPASSED, CONTROL = 0.98, 60_000
 LEVEL, MATCH, SEGMENT, RUN = 6, 5, 16, 6
 #: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
 CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
-#: Bytes of the longest word in a window, words of an ordinary window that is trained on, and words that a Python worker remembers.
+#: Bytes of the longest word in a window, words of an ordinary window that is trained on, and windows whose gains a pair of dictionaries remembers.
 LONGEST, WORDS, WORDS_KNOWN = 64, 6, 400_000
 STRONG = (1, 2, 3)
 
@@ -58,6 +59,50 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [w for word in words for w in ([word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)])]
 
 
+class Runs:
+    """Which windows hold a run of bytes by which the toxic content may gain: one of MATCH bytes or more that the ordinary content lacks.
+
+    Runs of MATCH to MATCH + 2 bytes are told apart exactly; one of MATCH + 3 in the toxic content counts whether or not the ordinary one has it, as
+    it may go on longer in the toxic one.
+    """
+
+    PLACES = 1 << 20
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        mine, theirs = (np.frombuffer(c, np.uint8) for c in (toxic, ordinary))
+        self.first = np.zeros(self.PLACES, bool)
+        self.first[self._place(self._runs(mine, MATCH))] = True
+        self.only = [np.setdiff1d(self._runs(mine, n), self._runs(theirs, n)) for n in range(MATCH, MATCH + 3)] + [np.unique(self._runs(mine, MATCH + 3))]
+
+    @staticmethod
+    def _runs(data: np.ndarray, n: int) -> np.ndarray:
+        """The runs of n <= 8 bytes at every place, as numbers."""
+        out = np.zeros(max(len(data) - n + 1, 0), np.uint64)
+        for k in range(n):
+            out = (out << np.uint64(8)) | data[k : k + len(out)]
+        return out
+
+    @classmethod
+    def _place(cls, runs: np.ndarray) -> np.ndarray:
+        return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) % cls.PLACES
+
+    def held(self, spaced: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each window, whether spaced holds such a run between its start and end."""
+        at = np.flatnonzero(self.first[self._place(self._runs(spaced, MATCH))])
+        window = np.searchsorted(starts, at, side="right") - 1
+        room = ends[window] - at
+        out = np.zeros(len(starts), bool)
+        for n, only in enumerate(self.only, MATCH):
+            fit = room >= n
+            at, window, room = at[fit], window[fit], room[fit]
+            run = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                run = (run << np.uint64(8)) | spaced[at + k]
+            if len(only):
+                out[window[only[np.minimum(np.searchsorted(only, run), len(only) - 1)] == run]] = True
+        return out
+
+
 class Gains:
     """Bytes that a toxic dictionary saves over the ordinary one, per window."""
 
@@ -65,7 +110,8 @@ class Gains:
         # bytes that no UTF-8 text holds keep the ordinary dictionary as long, so that both index the common content alike
         blank = random.Random(len(toxic)).choices(b"\xf8\xf9\xfa\xfb\xfc\xfd\xfe\xff", k=len(toxic))
         self.pair = [self._packer(content + ordinary) for content in (toxic, bytes(blank))]
-        self.runs = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
+        self.runs = Runs(ordinary, toxic)
+        self.known: dict[bytes, int] = {}
 
     @staticmethod
     def _packer(content: bytes):
@@ -73,37 +119,63 @@ class Gains:
         data.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def of(self, window: bytes) -> int:
-        """A window that shares no run of MATCH bytes, the least that the compressor copies, with the toxic content gains nothing by it."""
-        spaced = b" %b " % window
-        if self.runs.isdisjoint([spaced[i : i + MATCH] for i in range(len(spaced) - MATCH + 1)]):
-            return 0
-        framed = b"%b %b %b" % (CARRIER, window, CARRIER)
-        toxic, ordinary = self.pair
-        return len(ordinary(framed)) - len(toxic(framed))
-
-    def all(self, found: list[bytes]) -> np.ndarray:
-        known = {w: self.of(w) for w in dict.fromkeys(found)}
-        return np.fromiter((known[w] for w in found), np.int32, len(found))
-
-
-def features(gains: np.ndarray, around: np.ndarray) -> list[float]:
-    """Of a row's windows, and of those around the words that gain anything: the two largest gains, the number of strong ones by threshold, their share, and the number of windows."""
-    n = max(len(gains), 5)
-    top = np.sort(np.concatenate([gains, [0, 0]]))[:-3:-1]
-    strong = [int((gains >= t).sum()) for t in STRONG]
-    found = [*np.clip(top, 0, 12), *np.log1p(strong), *np.log1p(100 * np.array(strong) / n), np.log(n), min(int(around.max(initial=0)), 12), np.log1p(int((around >= STRONG[-1]).sum()))]
-    return [float(x) for x in found]
+    def compressed(self, window: bytes) -> int:
+        """The gain of a window by both its compressed lengths."""
+        gain = self.known.get(window)
+        if gain is None:
+            framed = b"%b %b %b" % (CARRIER, window, CARRIER)
+            toxic, ordinary = self.pair
+            if len(self.known) >= WORDS_KNOWN:
+                self.known.clear()
+            gain = self.known[window] = len(ordinary(framed)) - len(toxic(framed))
+        return gain
 
+    def among(self, text: bytes, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The gains of the windows that lie between starts and ends of text (low: its bytes); one without a run that the toxic content has to itself gains nothing."""
+        sizes = ends - starts
+        first = np.cumsum(sizes + 1) - sizes  # each window has a space before it and one after it
+        spaced = np.full(int(sizes.sum()) + len(sizes) + 1, 32, np.uint8)
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        spaced[np.repeat(first, sizes) + within] = low[np.repeat(starts, sizes) + within]
+        out = np.zeros(len(starts), np.int32)
+        for i in np.flatnonzero(self.runs.held(spaced, first - 1, first + sizes + 1)).tolist():
+            out[i] = self.compressed(text[starts[i] : ends[i]])
+        return out
 
-def _around(words: list[bytes], places: list[int]) -> list[bytes]:
-    return [b" ".join(w[:LONGEST] for w in words[max(i - 1, 0) : i + 2]) for i in places]
+    def all(self, found: list[bytes]) -> np.ndarray:
+        """The gains of windows."""
+        place: dict[bytes, int] = {}
+        back = np.fromiter((place.setdefault(w, len(place)) for w in found), np.int64, len(found))
+        text = b"".join(place)
+        sizes = np.fromiter(map(len, place), np.int64, len(place))
+        ends = np.cumsum(sizes)
+        return self.among(text, np.frombuffer(text, np.uint8), ends - sizes, ends)[back]
+
+
+def features(sizes: np.ndarray, row: np.ndarray, gains: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """A line for each row, of sizes windows. row, gains and around: of each window that gains anything its row, its gain and that of the words around it.
+
+    The two largest gains, the number of strong ones by threshold, their share, the number of windows, the largest gain around and the strong ones there.
+    """
+    n = np.maximum(sizes, 5)
+    top = np.zeros((len(sizes), 2))
+    order = np.lexsort((-gains, row))
+    place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    for k in (0, 1):
+        top[row[order][place == k], k] = gains[order][place == k]
+    strong = np.stack([np.bincount(row[gains >= t], minlength=len(sizes)) for t in STRONG], axis=1)
+    near = np.zeros(len(sizes))
+    np.maximum.at(near, row, around)
+    often = np.bincount(row[around >= STRONG[-1]], minlength=len(sizes))
+    return np.column_stack([np.clip(top, 0, 12), np.log1p(strong), np.log1p(100 * strong / n[:, None]), np.log(n), np.minimum(near, 12), np.log1p(often)])
 
 
 def row_features(words: list[bytes], gains: Gains) -> list[float]:
     """The features of a text's words by one pair of dictionaries."""
     g = gains.all(words)
-    return features(g, gains.all(_around(words, np.flatnonzero(g > 0).tolist())))
+    hot = np.flatnonzero(g > 0)
+    around = gains.all([b" ".join(words[max(i - 1, 0) : i + 2]) for i in hot.tolist()])
+    return features(np.array([len(words)]), np.zeros(len(hot), np.int64), g[hot], around)[0].tolist()
 
 
 def probability(x: np.ndarray, weights: list[float]) -> np.ndarray:
@@ -255,41 +327,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 class _Scorer:
-    """Scores texts with a model; a word's gains are found once and remembered, up to a bounded number of words."""
+    """Scores texts with a model; gains that were found by compressing are remembered, up to a bounded number of windows."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
         self.gains = [Gains(*m) for m in model.members]
 
-    def _gain(self, word: bytes) -> tuple[int, ...]:
-        gain = self.known.get(word)
-        if gain is None:
-            gain = self.known[word] = tuple(g.of(word) for g in self.gains)
-        return gain
-
     def scores(self, column: pa.Array) -> np.ndarray:
         if not self.gains:
             return np.full(len(column), self.model.constant)
         raw, offsets = text_bytes(column)
         low, starts, ends, rows = folded_words(raw, offsets)
         text = low.tobytes()
-        if len(self.known) > WORDS_KNOWN:
-            self.known.clear()
         if len(starts) and int((ends - starts).max()) > LONGEST:
             sizes = -(-(ends - starts) // LONGEST)
             rows = np.concatenate([[0], np.cumsum(sizes)])[rows]
             first = np.repeat(starts, sizes) + LONGEST * (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
             starts, ends = first, np.minimum(first + LONGEST, np.repeat(ends, sizes))
         _, first, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
-        found = np.array([self._gain(text[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int32).reshape(-1, len(self.gains))[back]
+        row = np.repeat(np.arange(len(column)), np.diff(rows))
         x = np.zeros((len(column), len(self.model.weights) - 1))
-        for i in range(len(column)):
-            a, z = int(rows[i]), int(rows[i + 1])
-            for m, gains in enumerate(self.gains):
-                mine = found[a:z, m]
-                hot = (np.flatnonzero(mine > 0) + a).tolist()
-                near = [b" ".join(text[starts[k] : ends[k]] for k in range(max(h - 1, a), min(h + 2, z))) for h in hot]
-                x[i] += features(mine, gains.all(near))
+        for gains in self.gains:
+            found = gains.among(text, low, starts[first], ends[first])[back]
+            hot = np.flatnonzero(found > 0)
+            least, most = np.maximum(hot - 1, rows[row[hot]]), np.minimum(hot + 2, rows[row[hot] + 1])
+            near = [b" ".join([text[starts[k] : ends[k]] for k in range(a, z)]) for a, z in zip(least.tolist(), most.tolist(), strict=True)]
+            x += features(np.diff(rows), row[hot], found[hot], gains.all(near))
         return probability(x / len(self.gains), self.model.weights)
 
 
