@@ -403,6 +403,22 @@ def test_toxicity_scores_equal_brute_force(spark):
         assert math.isclose(got[i].score, brute(t), rel_tol=1e-6) and got[i].predicted == (got[i].score >= 0.5)
 
 
+def test_toxicity_runs_equal_brute_force():
+    rng = random.Random(12)
+    word = lambda n: bytes(rng.choices(b"abc", k=n))
+    for ordinary, toxic in ((word(300), word(60)), (b"", word(40)), (word(50), b""), (b"abcde", b"abcdefgh"), (word(4), word(4))):
+        found = [word(rng.randrange(0, 14)) for _ in range(200)] + [b"", b"abcdefgh", toxic, b" ".join([word(6), word(7)])]
+        spaced = b" " + b" ".join(found) + b" "
+        ends = np.cumsum([len(w) + 1 for w in found]) + 1
+        starts = ends - 2 - np.array([len(w) for w in found])
+        got = toxicity.Runs(ordinary, toxic).held(np.frombuffer(spaced, np.uint8), starts, ends)
+        for w, held in zip(found, got, strict=True):
+            framed = b" " + w + b" "
+            runs = [framed[i : i + n] for n in range(5, 9) for i in range(len(framed) - n + 1)]
+            assert held == any(r in toxic and (len(r) == 8 or r not in ordinary) for r in runs)
+    assert not toxicity.Runs(b"", b"abcdef").held(np.frombuffer(b" ", np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)).any()
+
+
 def test_toxicity_windows_are_kept_by_other_folds_alone():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=8)).encode()
