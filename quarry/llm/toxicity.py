@@ -8,7 +8,8 @@ its own text was learnt never counts. A logistic curve over the cross-fitted gai
 
 Score: every window of every whole text. Windows are the words, between two fixed carriers that both dictionaries hold, and, about each word that
 gains anything, the three words around it. A word's gain depends on the word alone, so each distinct word is compressed once, and only if it holds a
-run of bytes that the toxic content has and the ordinary one lacks: without one the best parse by either dictionary is the same.
+run of bytes that the toxic content has and the ordinary one lacks: without one the best parse by either dictionary is the same. A process remembers
+the gains of the words it has met, by their hashes, from slice to slice and from task to task.
 
 Defined cases: null or empty texts have no window and take the curve's value at no gain; a null doc_id is held out of nothing and scored; rows
 without a label, with a null label or a null text teach nothing; repeated rows count once in the fit and each yields a row; an empty or one-class
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_slices, cut, folded_words, mix, text_bytes, word_hashes
+from quarry.llm.common import SLICE_BYTES, byte_slices, cut, folded_words, let_go, mix, only_held, text_bytes, word_hashes
 
 #: Labelled rows of each class that a fit takes at most, by ascending hash of doc_id; their texts are read whole.
 SAMPLE_ROWS = 4000
@@ -40,8 +41,9 @@ SURPASSED, CONTROL = 0.98, 60_000
 LEVEL, MATCH, SEGMENT, RUN = 6, 5, 16, 6
 #: Both dictionaries end with this text twice (the library does not index the last bytes), and each window begins and ends with it.
 CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
-#: Bytes of the longest word in a window, words of an ordinary window that is trained on, and windows whose gains a pair of dictionaries remembers.
-LONGEST, WORDS, WORDS_KNOWN = 64, 6, 400_000
+#: Bytes of the longest word in a window, words of an ordinary window that is trained on, windows whose gains a pair of dictionaries remembers, and
+#: words whose gains a scorer remembers.
+LONGEST, WORDS, WORDS_KNOWN, HASHES_KNOWN = 64, 6, 100_000, 1 << 20
 STRONG = (1, 2, 3)
 
 
@@ -70,9 +72,9 @@ class Runs:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         mine, theirs = (np.frombuffer(c, np.uint8) for c in (toxic, ordinary))
-        self.first = np.zeros(self.PLACES, bool)
-        self.first[self._place(self._runs(mine, MATCH))] = True
+        self.first = self._marked(self._runs(mine, MATCH))
         self.only = [np.setdiff1d(self._runs(mine, n), self._runs(theirs, n)) for n in range(MATCH, MATCH + 3)] + [np.unique(self._runs(mine, MATCH + 3))]
+        self.likely = [self._marked(only) for only in self.only]
 
     @staticmethod
     def _runs(data: np.ndarray, n: int) -> np.ndarray:
@@ -86,23 +88,52 @@ class Runs:
     def _place(cls, runs: np.ndarray) -> np.ndarray:
         return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) % cls.PLACES
 
+    @classmethod
+    def _marked(cls, runs: np.ndarray) -> np.ndarray:
+        out = np.zeros(cls.PLACES, bool)
+        out[cls._place(runs)] = True
+        return out
+
     def held(self, spaced: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each window, whether spaced holds such a run between its start and end."""
-        at = np.flatnonzero(self.first[self._place(self._runs(spaced, MATCH))])
-        window = np.searchsorted(starts, at, side="right") - 1
-        room = ends[window] - at
-        out = np.zeros(len(starts), bool)
-        for n, only in enumerate(self.only, MATCH):
+        """For each window, whether spaced holds such a run between its start and end. Windows are in order; the first starts at 0."""
+        return self.held_in(Laid(spaced, starts, ends))
+
+    def held_in(self, laid: Laid) -> np.ndarray:
+        at = np.flatnonzero(self.first[laid.places])
+        run, window = laid.runs[at], laid.window[at]
+        room = laid.ends[window] - at
+        out = np.zeros(len(laid.starts), bool)
+        for n, (only, likely) in enumerate(zip(self.only, self.likely, strict=True), MATCH):
             fit = room >= n
-            at, window, room = at[fit], window[fit], room[fit]
-            run = np.zeros(len(at), np.uint64)
-            for k in range(n):
-                run = (run << np.uint64(8)) | spaced[at + k]
-            if len(only):
-                out[window[only[np.minimum(np.searchsorted(only, run), len(only) - 1)] == run]] = True
+            at, window, room, run = at[fit], window[fit], room[fit], run[fit]
+            if n > MATCH:
+                run = (run << np.uint64(8)) | laid.spaced[at + n - 1]
+            seen = np.flatnonzero(likely[self._place(run)])
+            if len(seen):
+                out[window[seen[only[np.minimum(np.searchsorted(only, run[seen]), len(only) - 1)] == run[seen]]]] = True
         return out
 
 
+class Laid:
+    """Windows side by side, a space before and after each, with the run of MATCH bytes, its place in Runs' tables and the window at every byte."""
+
+    def __init__(self, spaced: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.spaced, self.starts, self.ends = spaced, starts, ends
+        self.runs = Runs._runs(spaced, MATCH)
+        self.places = Runs._place(self.runs)
+        self.window = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(spaced))) if len(starts) else np.zeros(len(spaced), np.int64)
+
+    @classmethod
+    def of(cls, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Laid:
+        """The windows that lie between starts and ends of low."""
+        sizes = ends - starts
+        first = np.cumsum(sizes + 1) - sizes
+        spaced = np.full(int(sizes.sum()) + len(sizes) + 1, 32, np.uint8)
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        spaced[np.repeat(first, sizes) + within] = low[np.repeat(starts, sizes) + within]
+        return cls(spaced, first - 1, first + sizes + 1)
+
+
 class Gains:
     """Bytes that a toxic dictionary saves over the ordinary one, per window."""
 
@@ -119,27 +150,27 @@ class Gains:
         data.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def compressed(self, window: bytes) -> int:
+    def saved(self, window: bytes) -> int:
         """The gain of a window by both its compressed lengths."""
+        framed = b"%b %b %b" % (CARRIER, window, CARRIER)
+        toxic, ordinary = self.pair
+        return len(ordinary(framed)) - len(toxic(framed))
+
+    def compressed(self, window: bytes) -> int:
+        """The gain of a window, remembered."""
         gain = self.known.get(window)
         if gain is None:
-            framed = b"%b %b %b" % (CARRIER, window, CARRIER)
-            toxic, ordinary = self.pair
             if len(self.known) >= WORDS_KNOWN:
                 self.known.clear()
-            gain = self.known[window] = len(ordinary(framed)) - len(toxic(framed))
+            gain = self.known[window] = self.saved(window)
         return gain
 
-    def among(self, text: bytes, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The gains of the windows that lie between starts and ends of text (low: its bytes); one without a run that the toxic content has to itself gains nothing."""
-        sizes = ends - starts
-        first = np.cumsum(sizes + 1) - sizes  # each window has a space before it and one after it
-        spaced = np.full(int(sizes.sum()) + len(sizes) + 1, 32, np.uint8)
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        spaced[np.repeat(first, sizes) + within] = low[np.repeat(starts, sizes) + within]
+    def among(self, text: bytes, starts: np.ndarray, ends: np.ndarray, laid: Laid, gain=None) -> np.ndarray:
+        """The gains of the windows that lie between starts and ends of text, and in laid; one without a run that the toxic content has to itself gains nothing."""
+        gain = gain or self.compressed
         out = np.zeros(len(starts), np.int32)
-        for i in np.flatnonzero(self.runs.held(spaced, first - 1, first + sizes + 1)).tolist():
-            out[i] = self.compressed(text[starts[i] : ends[i]])
+        at = np.flatnonzero(self.runs.held_in(laid))
+        out[at] = [gain(text[a:z]) for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         return out
 
     def all(self, found: list[bytes]) -> np.ndarray:
@@ -149,7 +180,7 @@ class Gains:
         text = b"".join(place)
         sizes = np.fromiter(map(len, place), np.int64, len(place))
         ends = np.cumsum(sizes)
-        return self.among(text, np.frombuffer(text, np.uint8), ends - sizes, ends)[back]
+        return self.among(text, ends - sizes, ends, Laid.of(np.frombuffer(text, np.uint8), ends - sizes, ends))[back]
 
 
 def features(sizes: np.ndarray, row: np.ndarray, gains: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -306,13 +337,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     sample = cut(texts.select("doc_id", "text", "toxic"), "labelled")
 
     def member(key: tuple, table: pa.Table) -> pa.Table:
+        let_go()
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("toxic").to_pylist(), table.column("text").to_pylist(), strict=True))
         random.Random(11).shuffle(rows)
         labelled = [(t, y) for _, y, t in rows]
         found = _copies_once(labelled)
         one = _one_class(labelled, found)
         common, final, x = fit_member(found, key[0].as_py()) if one is None else (b"", b"", [])
-        made = {"member": key[0].as_py(), "toxic_rows": sum(y for _, y in found), "constant": one.constant if one else None, "common": common, "content": final, "features": json.dumps(x)}
+        toxic_rows = sum(y for _, y in found)
+        del rows, labelled, found
+        let_go()
+        made = {"member": key[0].as_py(), "toxic_rows": toxic_rows, "constant": one.constant if one else None, "common": common, "content": final, "features": json.dumps(x)}
         return pa.Table.from_pylist([made], schema=pa.schema([("member", pa.int32()), ("toxic_rows", pa.int64()), ("constant", pa.float64()), ("common", pa.binary()), ("content", pa.binary()), ("features", pa.string())]))
 
     each = sample.withColumn("member", F.explode(F.array(*[F.lit(m) for m in range(MEMBERS)])))
@@ -327,11 +362,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 class _Scorer:
-    """Scores texts with a model; gains that were found by compressing are remembered, up to a bounded number of windows."""
+    """Scores texts with a model; the gains of words are remembered by hash, and of what is around them by text, up to a bounded number."""
 
     def __init__(self, model: Model):
         self.model = model
         self.gains = [Gains(*m) for m in model.members]
+        self.hashes, self.known = np.zeros(0, np.uint64), np.zeros((0, len(self.gains)), np.int16)
+
+    def word_gains(self, hashes: np.ndarray, text: bytes, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each member's gains of the words between starts and ends of text (low: its bytes), whose ascending, distinct hashes are given."""
+        if len(self.hashes) > HASHES_KNOWN:
+            self.hashes, self.known = self.hashes[:0], self.known[:0]
+        at = np.searchsorted(self.hashes, hashes)
+        met = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        met[inside] = self.hashes[at[inside]] == hashes[inside]
+        out = np.empty((len(hashes), len(self.gains)), np.int16)
+        out[met] = self.known[at[met]]
+        fresh = np.flatnonzero(~met)
+        if len(fresh):
+            starts, ends = starts[fresh], ends[fresh]
+            laid = Laid.of(low, starts, ends)
+            for k, gains in enumerate(self.gains):
+                out[fresh, k] = gains.among(text, starts, ends, laid, gains.saved)
+            self.hashes = np.insert(self.hashes, at[fresh], hashes[fresh])
+            self.known = np.insert(self.known, at[fresh], out[fresh], axis=0)
+        return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if not self.gains:
@@ -344,25 +400,31 @@ class _Scorer:
             rows = np.concatenate([[0], np.cumsum(sizes)])[rows]
             first = np.repeat(starts, sizes) + LONGEST * (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
             starts, ends = first, np.minimum(first + LONGEST, np.repeat(ends, sizes))
-        _, first, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        each = self.word_gains(hashes, text, low, starts[first], ends[first])
         row = np.repeat(np.arange(len(column)), np.diff(rows))
         x = np.zeros((len(column), len(self.model.weights) - 1))
-        for gains in self.gains:
-            found = gains.among(text, low, starts[first], ends[first])[back]
+        for k, gains in enumerate(self.gains):
+            found = each[:, k][back].astype(np.int64)
             hot = np.flatnonzero(found > 0)
             least, most = np.maximum(hot - 1, rows[row[hot]]), np.minimum(hot + 2, rows[row[hot] + 1])
-            near = [b" ".join([text[starts[k] : ends[k]] for k in range(a, z)]) for a, z in zip(least.tolist(), most.tolist(), strict=True)]
+            near = [b" ".join([text[starts[j] : ends[j]] for j in range(a, z)]) for a, z in zip(least.tolist(), most.tolist(), strict=True)]
             x += features(np.diff(rows), row[hot], found[hot], gains.all(near))
         return probability(x / len(self.gains), self.model.weights)
 
 
+def _scorer(model: Model) -> _Scorer:
+    """The scorer of this Python process for a model."""
+    return only_held(("toxicity", tuple(model.members), tuple(model.weights), model.constant), lambda: _Scorer(model))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with held_out, score and predicted, one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model)
+        scorer = _scorer(model)
         for whole in batches:
-            for b in byte_slices(whole, 1):
+            for b in byte_slices(whole, 1, 2 * SLICE_BYTES):
                 yield pa.record_batch([b.column(0), pa.array(scorer.scores(b.column(1)), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -376,9 +438,9 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model)
+        scorer = _scorer(model)
         for whole in batches:
-            for b in byte_slices(whole, at):
+            for b in byte_slices(whole, at, 2 * SLICE_BYTES):
                 yield b.filter(pa.array(scorer.scores(b.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

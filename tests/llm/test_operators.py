@@ -419,6 +419,25 @@ def test_toxicity_runs_equal_brute_force():
     assert not toxicity.Runs(b"", b"abcdef").held(np.frombuffer(b" ", np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)).any()
 
 
+def test_toxicity_scorer_remembers_words(spark, monkeypatch):
+    """A word that a process has met is neither looked for runs nor compressed again; a forgotten one gains the same."""
+    rng = random.Random(5)
+    plain = ["".join(rng.choices(["the", "an", "tion", "er", "wh", "ing"], k=rng.randint(1, 3))) for _ in range(300)]
+    rows = [(" ".join(rng.choices(plain, k=60) + ["vileword"] * (3 * (i % 2))), i % 2) for i in range(90)]
+    model = toxicity.fit_rows(rows)
+    column = pa.array([t for t, _ in rows], pa.string())
+    scorer, looked = toxicity._Scorer(model), []
+    held = toxicity.Runs.held_in
+    monkeypatch.setattr(toxicity.Runs, "held_in", lambda self, laid: looked.append(len(laid.starts)) or held(self, laid))
+    first = scorer.scores(column)
+    words, looked[:] = sum(looked), []
+    again = scorer.scores(column)
+    assert sum(looked) < words / 2 and (again == first).all() and toxicity._scorer(model) is toxicity._scorer(model)
+    monkeypatch.setattr(toxicity, "HASHES_KNOWN", 10)
+    few = toxicity._Scorer(model)
+    assert np.concatenate([few.scores(column.slice(i, 7)) for i in range(0, 90, 7)]).tolist() == first.tolist()
+
+
 def test_toxicity_windows_are_kept_by_other_folds_alone():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=8)).encode()
