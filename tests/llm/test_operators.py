@@ -542,3 +542,39 @@ def test_vector_index(spark):
     assert np.mean(hits) >= 0.9
     assert vector_index.search(table.limit(0)).count() == 0
     assert vector_index.search(table.where("vec_id in (20, 21, 22)")).count() == 2
+
+
+def test_vector_index_yields_a_query_s_candidates_once(spark, monkeypatch):
+    """Rows that leave the visit grow with the queries, not with blocks and tasks."""
+    x = np.random.default_rng(2).normal(size=(2000, 16)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    visits, mapped = [], type(table).mapInArrow
+
+    def spied(self, func, schema, *rest):
+        made = mapped(self, func, schema, *rest)
+        if func.__name__ == "visit":
+            visits.append(made)
+        return made
+
+    monkeypatch.setattr(type(table), "mapInArrow", spied)
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(vector_index, "QUERY_ROWS", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = vector_index.search(table, candidates=50).count()
+        rows = visits[0].groupBy("query_id").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == 100 * 20 and len(rows) == 100 and {r["count"] for r in rows} == {50}
+
+
+def test_nearest_entries_equal_brute_force():
+    rng = np.random.default_rng(3)
+    near, h = rng.integers(0, 6, size=(5, 90)).astype(float), rng.permutation(90)
+    best = vector_index.Nearest(5, 20)
+    for i in range(0, 90, 15):
+        asking = np.array([0, 1, 2, 3]) if i == 30 else np.arange(5)
+        best.meet(asking, h[i : i + 15], near[asking, i : i + 15])
+    for q in range(5):
+        seen = [j for j in range(90) if q < 4 or not 30 <= j < 45]
+        assert sorted(best.h[q]) == sorted(h[j] for j in sorted(seen, key=lambda j: (-near[q, j], h[j]))[:20])
