@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 
+from quarry.llm.common import only_held
+
 #: Fixed value: characters with Unicode's White_Space property.
 _WS = "\t-\r \x85\xa0  -     　"
 _WS_SET = frozenset(re.findall(f"[{_WS}]", "".join(map(chr, range(0x3001)))))
@@ -82,16 +84,18 @@ class ChunkEncoder:
                 del table[c]
         return out
 
-    @lru_cache(maxsize=1)  # noqa: B019
     def byte_lengths(self) -> np.ndarray:
         """The number of UTF-8 bytes that each id stands for: one per character of a byte-level piece, all bytes of an added token."""
+        return self._byte_lengths
+
+    @cached_property
+    def _byte_lengths(self) -> np.ndarray:
         lengths = np.zeros(self.size, dtype=np.int64)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             lengths[i] = len(piece.encode()) if piece in self.special else len(piece)
         return lengths
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """The encoder of this Python process."""
-    return ChunkEncoder(path)
+    return only_held(("chunks", path), lambda: ChunkEncoder(path))

@@ -20,14 +20,14 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_BYTES, byte_slices
+from quarry.llm.common import SLICE_BYTES, byte_slices, only_held
 
 #: The space mark, and of the model file the field numbers and codes that are read.
 MARK = "▁"
@@ -214,22 +214,21 @@ class PieceModel:
             out.append(ids)
         return b"".join(out)
 
-    @lru_cache(maxsize=1)  # noqa: B019
+    @cached_property
     def _spelled(self) -> list[bytes]:
         """What each id adds to a text."""
         return [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
-        spelled = self._spelled()
+        spelled = self._spelled
         text = b"".join([spelled[i] for i in array(self.code, ids)]).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
-@lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
     """The model of this Python process."""
-    return PieceModel(path)
+    return only_held(("pieces", path), lambda: PieceModel(path))
 
 
 def encode(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:

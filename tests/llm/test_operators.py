@@ -1,9 +1,11 @@
 """Each operator against brute force, an exact round trip or its SQL, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import gc
 import io
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -438,6 +440,14 @@ def test_toxicity_scorer_remembers_words(spark, monkeypatch):
     assert np.concatenate([few.scores(column.slice(i, 7)) for i in range(0, 90, 7)]).tolist() == first.tolist()
 
 
+def test_a_worker_holds_the_tables_of_one_operator(tokenizer):
+    table = weakref.ref(sentence_pieces.piece_model(tokenizer("piece_bpe_32k.model")))
+    assert table() is sentence_pieces.piece_model(tokenizer("piece_bpe_32k.model")) and table().decode(table().encode("a b")) == "a b"
+    chunk_encoding.encoder(tokenizer("byte_bpe_50k.json"))
+    gc.collect()
+    assert table() is None
+
+
 def test_toxicity_windows_are_kept_by_other_folds_alone():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=8)).encode()
