@@ -1,7 +1,9 @@
 """Exact and fast encoding with byte-level BPE of the tokenizers library: each distinct chunk of white space and word is encoded once and remembered.
 
-The tokenizer's pattern never joins a character that isn't white space to white space after it, so the ids of a text are the ids of its chunks,
-where a chunk is a run of white space with the run of other characters that follows it. Chunks are looked up in a table of bounded size.
+The tokenizer's pattern never joins a character that isn't white space to white space after it, nor a letter or digit to punctuation of ASCII after
+it, so the ids of a text are the ids of its chunks. A chunk is a run of white space with the run of other characters that follows it, and ends before
+punctuation that follows a letter or digit; where a run goes on with a character that is neither, it goes on to white space. So a word is one chunk
+whatever punctuation it has after it. Chunks are looked up in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from quarry.llm.common import only_held
 #: Fixed value: characters with Unicode's White_Space property.
 _WS = "\t-\r \x85\xa0  -     　"
 _WS_SET = frozenset(re.findall(f"[{_WS}]", "".join(map(chr, range(0x3001)))))
-_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: Characters that are letters or digits, and that are none of letters, digits and white space, in every version of Unicode.
+_WORD, _MARK = "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+_CHUNK = re.compile(f"[{_WS}]*+[{_MARK}]*+[{_WORD}]++(?=[{_WS}{_MARK}]|\\Z)|[{_WS}]*+[^{_WS}]+|[{_WS}]+")
 #: Entries remembered by a Python worker, and the longest chunk that is remembered.
 TABLE_ENTRIES, TABLE_CHARS = 800_000, 48
 #: Characters of text whose new chunks are encoded together.

@@ -27,6 +27,8 @@ from quarry.llm.chunk_encoding import encoder
 from quarry.llm.common import SLICE_BYTES, byte_slices, cut, file_system, read_tasks, shared_dir
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 512
+#: Rows below which another shard is not worth a task.
+SHARD_ROWS = 8
 MANIFEST = T.StructType([T.StructField(n, T.StringType() if n == "uri" else T.LongType()) for n in ("first_id", "uri", "n_docs", "n_tokens")])
 COUNTED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
@@ -128,7 +130,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, length: int = SEQ
             yield pa.RecordBatch.from_pylist([{"first_id": first, "uri": uri, "n_docs": out.n_docs, "n_tokens": out.n_tokens}], schema=pa.schema([("first_id", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a number of its own, which is not coalesced by the rows' bytes
+    shards = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // SHARD_ROWS))
+    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -156,4 +160,4 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 starts = start + np.cumsum([0, *counts[:-1]], dtype=np.int64)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("uri", "start").repartition(read_tasks(manifest), "uri").mapInArrow(read, COUNTED)
+    return placed.select("uri", "start").repartition(read_tasks(manifest)).mapInArrow(read, COUNTED)

@@ -275,6 +275,21 @@ def test_chunk_encoder(tokenizer):
             assert mine.byte_lengths()[np.frombuffer(ids, mine.dtype)].sum() == len(t.encode())
 
 
+def test_chunks_end_before_marks_and_the_ids_stay(tokenizer):
+    """Words are learnt once whatever marks follow them; ids equal the library's for texts of all kinds of characters."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    mine, theirs = chunk_encoding.ChunkEncoder(path), Tokenizer.from_file(path)
+    mine.encode([" word word, word. word!"])
+    assert set(mine.table) == {" word", ",", ".", "!"}
+    rng = random.Random(7)
+    kinds = ["a", "Z", "s", "'s", "'ll", "'", "9", ".", " ", "  ", "\n", "é", "ß", "×", "º", "漢", "\u0301", "€", "…", "\xa0", "-", "_", "|>", "(", "~", "\x00", "\x1c", "\u200b", "²", "😀", "don't"]
+    texts = ["".join(rng.choices(kinds, k=rng.randint(1, 30))) for _ in range(2000)]
+    for t, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, mine.dtype).tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_counts(spark, tokenizer):
     from tokenizers import Tokenizer
 
